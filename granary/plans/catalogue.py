@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.plans import balance
+from granary.plans import balance, collection, pages, search, texts, vision
 
-_PARTS = (balance,)
+_PARTS = (search, balance, texts, pages, collection, vision)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
