@@ -40,9 +40,9 @@ COVERAGE_INOCULATION = r"inoculat|spore suspension|inoculum|clipping method|gree
 # Patterns that type a chunk.
 MANAGEMENT_HEADING = r"\bmanagement\b|\bcontrol\b|cultural practice|fungicid|chemical|resistant variet|varietal resistance|seed treatment|\btreatment\b"
 ACTIONABLE = (
-    r"\bfungicid\w*\b|\bapply\b|\bapplication rate\b|\bspray\b|\bseed treatment\b|\bfl oz\b|\bkg/ha\b|\bg/ha\b|\bl/ha\b|\brecommended\b|"
-    r"\bresistant cultivars?\b|\bresistant variet\w+\b|\bsusceptible cultivars?\b|"
-    r"\bavoid\b|\bmaintain\b|\bplant early\b|\brotat\w+\b|\bsanitation\b|\bdestroy\b|\bremove\b|\bdrain\b|\bflood depth\b|\bfertility program\b"
+    r"\b(?:fungicid\w*|apply|application rate|spray|seed treatment|fl oz|kg/ha|g/ha|l/ha|recommended|"
+    r"resistant cultivars?|resistant variet\w+|susceptible cultivars?|"
+    r"avoid|maintain|plant early|rotat\w+|sanitation|destroy|remove|drain|flood depth|fertility program)\b"
 )
 MANAGEMENT_MARKER = r"\bManagement\b\s*[•\-]|\bControl measures?\b|\bDisease management\b"
 INOCULATION = r"inoculat|spore suspension|inoculum|clipping method|scissor.?dip|spray.{0,20}suspension|conidial suspension"
