@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.text import collapsed
+from granary.storage import stored
 
 
 def line_form(line: Column) -> Column:
@@ -31,7 +32,7 @@ def frequent_lines(docs: DataFrame, id_col: str = "chunk_id", text_col: str = "t
     judged. Rows with a null id, text or source, and blank lines, are never a case. A line that occurs twice
     in one document counts once, and both of its places come out. Other columns are not read.
     """
-    lines = _lines(docs, id_col, text_col, source_col)
+    lines = stored(_lines(docs, id_col, text_col, source_col))  # read twice, normalised once
     # Distinct documents first: this spreads a line that is everywhere over all tasks before it is counted.
     seen = lines.select("h1", "h2", F.xxhash64("id").alias("doc")).distinct()
     often = seen.groupBy("h1", "h2").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs)
