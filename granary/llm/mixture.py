@@ -106,6 +106,7 @@ def mix_sources(
     rows = rows.join(F.broadcast(goals.select("source")), "source", "left_semi")
     sized = token_count(rows, "text", tokenizer, "n_tokens").select("id", "source", "n_tokens")
     sized = sized.withColumn("turn", F.xxhash64(F.lit(seed), "source", F.col("id").cast("string")))
+    sized = stored(sized)  # ranging samples its input first; texts are read and measured once
     placed = stored(numbered_by_key(sized, ["source"], ["turn", "id"], chunk_rows=block_docs, weight="n_tokens"))
 
     totals = placed.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("tokens"), (F.max("chunk_no") + 1).alias("blocks"))
