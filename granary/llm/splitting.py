@@ -83,8 +83,12 @@ def pieces(text: str, limit: int = 280, overlap: int = 60) -> Iterator[tuple[int
             if first <= last and strengths[best := index.within(first, last)] > PLAIN:
                 cut, kind = best, "natural"
                 break
+        if kind == "forced" and total - done <= limit:  # the end of the text is the next boundary
+            cut, kind = total, "end"
         back = min(back, limit - (cut - done))
-        yield (0 if done == 0 else spans[done - back][0]), spans[cut - 1][1], back, kind
+        yield (0 if done == 0 else spans[done - back][0]), len(text) if cut == total else spans[cut - 1][1], back, kind
+        if cut == total:
+            return
         done, back = cut, min(overlap, cut)
 
 
