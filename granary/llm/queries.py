@@ -101,5 +101,37 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_clean, p3_found, p3_pieces, p4_found, p4_shared, p6_found, p6_passages, p6_clean, p7_found, p7_report, p7_draws, p8_found, p8_canonical)}
 
 
+_WHITE = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+_WORDS = f"len(list_filter(regexp_split_to_array({{0}}, '{_WHITE}'), lambda w: w <> ''))"
+_LINES = f"""
+    lines as (select chunk_id, source_document, unnest(range(len(string_split(text, chr(10))))) as line_no, unnest(string_split(text, chr(10))) as line
+        from (select distinct chunk_id, source_document, text from chunks where text is not null and source_document is not null and chunk_id is not null)),
+    formed as (select *, regexp_replace(lower(trim(regexp_replace(line, '{_WHITE}', ' ', 'g'))), '\\p{{Nd}}+', '#', 'g') as form from lines),
+    often as (select source_document, form from formed where form <> '' group by all having count(distinct chunk_id) >= 5)"""
+_MIX = f"""
+    tokens as (select source, sum({_WORDS.format('text')}) as n from documents where text is not null group by source),
+    targets as (select source, max(target_share) as share, max(max_repeats) as repeats from mix_targets where source is not null group by source),
+    held as (select source, share, repeats, coalesce(n, 0) as n from targets left join tokens using (source))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express over whole tables."""
+    return {
+        "p1_found": """
+            with v as (select chunk_id, min(vector)::double[] as v from chunk_vectors where len(vector) = 64 and len(list_filter(vector, lambda x: x <> 0)) > 0 group by chunk_id),
+            s as (select a.chunk_id as a, b.chunk_id as b, list_cosine_similarity(a.v, b.v) as c from v a join v b on a.chunk_id <> b.chunk_id),
+            r as (select *, row_number() over (partition by a order by c desc, b) as place from s where c >= 0.9)
+            select distinct least(a, b) as chunk_id_a, greatest(a, b) as chunk_id_b from r where place <= 5""",
+        "p2_found": f"with {_LINES} select distinct chunk_id, cast(line_no as bigint) as line_no from formed join often using (source_document, form)",
+        "p2_clean": f"""
+            with {_LINES}, dropped as (select distinct chunk_id, source_document, line_no from formed join often using (source_document, form)),
+            kept as (select l.chunk_id, l.source_document, string_agg(l.line, chr(10) order by l.line_no) filter (where d.line_no is null) as t, count(d.line_no) as n
+                from lines l left join dropped d using (chunk_id, source_document, line_no) group by all)
+            select chunk_id, coalesce(t, '') as clean_text, cast(n as integer) as lines_removed from kept""",
+        "p3_found": f"""
+            with c as (select distinct chunk_id, text from chunks where text is not null),
+            w as (select chunk_id, {_WORDS.format('text')} as n, list_max(list_transform(string_split(regexp_replace(text, '([.!?]){_WHITE}([A-Z(])', '\\1' || chr(10) || '\\2', 'g'), chr(10)),
+                lambda p: {_WORDS.format('p')})) as stretch from c)
+            select chunk_id, case when stretch > 280 then 'forced' else 'natural' end as cut_kind from w where n > 280""",
+        "p7_found": f"with {_MIX} select source from held where n * repeats < share * (select sum(n) from held)",
+    }
