@@ -102,14 +102,19 @@ def queries() -> dict[str, Query]:
 
 
 _WHITE = "[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
-_WORDS = f"len(list_filter(regexp_split_to_array({{0}}, '{_WHITE}'), lambda w: w <> ''))"
+
+
+def _words(x: str) -> str:
+    return f"len(list_filter(regexp_split_to_array({x}, '{_WHITE}'), lambda w: w <> ''))"
+
+
 _LINES = f"""
     lines as (select chunk_id, source_document, unnest(range(len(string_split(text, chr(10))))) as line_no, unnest(string_split(text, chr(10))) as line
         from (select distinct chunk_id, source_document, text from chunks where text is not null and source_document is not null and chunk_id is not null)),
     formed as (select *, regexp_replace(lower(trim(regexp_replace(line, '{_WHITE}', ' ', 'g'))), '\\p{{Nd}}+', '#', 'g') as form from lines),
     often as (select source_document, form from formed where form <> '' group by all having count(distinct chunk_id) >= 5)"""
 _MIX = f"""
-    tokens as (select source, sum({_WORDS.format('text')}) as n from documents where text is not null group by source),
+    tokens as (select source, sum({_words('text')}) as n from documents where text is not null group by source),
     targets as (select source, max(target_share) as share, max(max_repeats) as repeats from mix_targets where source is not null group by source),
     held as (select source, share, repeats, coalesce(n, 0) as n from targets left join tokens using (source))"""
 
@@ -130,8 +135,8 @@ def oracle_sql() -> dict[str, str]:
             select chunk_id, coalesce(t, '') as clean_text, cast(n as integer) as lines_removed from kept""",
         "p3_found": f"""
             with c as (select distinct chunk_id, text from chunks where text is not null),
-            w as (select chunk_id, {_WORDS.format('text')} as n, list_max(list_transform(string_split(regexp_replace(text, '([.!?]){_WHITE}([A-Z(])', '\\1' || chr(10) || '\\2', 'g'), chr(10)),
-                lambda p: {_WORDS.format('p')})) as stretch from c)
+            w as (select chunk_id, {_words('text')} as n, list_max(list_transform(string_split(regexp_replace(text, '([.!?]){_WHITE}([A-Z(])', '\\1' || chr(10) || '\\2', 'g'), chr(10)),
+                lambda p: {_words('p')})) as stretch from c)
             select chunk_id, case when stretch > 280 then 'forced' else 'natural' end as cut_kind from w where n > 280""",
         "p7_found": f"with {_MIX} select source from held where n * repeats < share * (select sum(n) from held)",
     }
