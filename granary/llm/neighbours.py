@@ -135,6 +135,17 @@ def search_leaves(forest: Forest, rows: np.ndarray, probes: int) -> tuple[np.nda
     return found, home
 
 
+def _routes(forest: Forest, units: np.ndarray, asks: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """``search_leaves``, but rows that ask nothing only go to their own leaves."""
+    keep = max(probes, len(forest.roots))
+    leaf, home = np.zeros((len(units), keep), np.int32), np.zeros((len(units), keep), bool)
+    for who, wide in ((np.flatnonzero(asks), probes), (np.flatnonzero(~asks), len(forest.roots))):
+        if len(who):
+            found, own = search_leaves(forest, units[who], wide)
+            leaf[who, : found.shape[1]], home[who, : own.shape[1]] = found, own
+    return leaf, home
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
@@ -216,7 +227,7 @@ def similar_vectors(
             units = _units(_matrix(batch["v"], dim))
             codes = _codes(units)
             asks = batch["asks"].to_numpy(zero_copy_only=False).astype(bool)
-            leaf, home = search_leaves(shared.value, units, probes)
+            leaf, home = _routes(shared.value, units, asks, probes)
             row, slot = np.nonzero((leaf > 0) & (home | asks[:, None]))
             own = home[row, slot]
             h1, h2 = (batch[c].to_numpy() for c in ("h1", "h2"))

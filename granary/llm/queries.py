@@ -24,7 +24,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """Every hundredth chunk, by the hash of its id, against all chunks."""
     asked = F.pmod(F.xxhash64("chunk_id"), F.lit(100)) == 0
-    near = neighbours.similar_vectors(_table(spark, folder, "chunk_vectors"), k=5, queries=asked, leaf_rows=1024, probes=96)
+    near = neighbours.similar_vectors(_table(spark, folder, "chunk_vectors"), k=5, queries=asked, leaf_rows=1024, probes=160)
     return near.withColumnRenamed("id", "chunk_id")
 
 
