@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,9 +66,6 @@ def request_results(requests: DataFrame, chunks: DataFrame, limits: RetrievalLim
     products score each batch of chunks against a block and keep the best of every request, so what is
     shuffled are at most ``most_k`` rows per request and batch.
     """
-    import numpy as np
-    import pandas as pd
-
     dim, most = limits.dim, limits.most_k
     asked = requests.filter(usable(F.col("query_vector"), dim) & F.col("request_id").isNotNull()).select(
         "request_id", F.col("query_vector").alias("q"), filled(F.trim("disease_name")).alias("disease"), F.coalesce(F.col("intent") == "unfiltered", F.lit(False)).alias("open"), clamped_k(F.col("top_k"), limits).alias("k"))
@@ -78,29 +79,40 @@ def request_results(requests: DataFrame, chunks: DataFrame, limits: RetrievalLim
         told = numbered.filter(F.col("block") == block).drop("block").toPandas()
         queries = np.array(told["q"].tolist(), np.float64)
         queries /= np.linalg.norm(queries, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((told["request_id"].to_numpy(), queries, told["disease"].to_numpy(), told["open"].to_numpy(), told["k"].to_numpy()))
+        shared = spark.sparkContext.broadcast((told["request_id"].to_numpy(object), queries, np.array([d if isinstance(d, str) else None for d in told["disease"]], object), told["open"].to_numpy(bool), told["k"].to_numpy()))
 
-        def search(batches, shared=shared):  # noqa: ANN001, ANN202
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             ids, q, disease, free, k = shared.value
-            wanted = {d: np.flatnonzero(disease == d) for d in set(x for x in disease if x is not None)}
+            wanted = {d: np.flatnonzero(disease == d) for d in {x for x in disease if x is not None}}
+            anyone = np.flatnonzero([d is None for d in disease])
             for batch in batches:
-                v = np.array(batch["vector"].tolist(), np.float64).reshape(-1, dim)
+                v = batch["vector"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
                 v /= np.linalg.norm(v, axis=1, keepdims=True)
-                names, ok, label = batch["chunk_id"].to_numpy(), batch["ok"].to_numpy().astype(bool), batch["disease_name"].to_numpy()
-                parts = []
-                groups = [(np.flatnonzero([d is None for d in disease]), np.arange(len(v)))] + [(at, np.flatnonzero(label == d)) for d, at in wanted.items()]
-                for asking, held in groups:
+                ok = batch["ok"].to_numpy(zero_copy_only=False).astype(bool)
+                label = np.array(batch["disease_name"].to_pylist(), object)
+                by_name = np.argsort(np.argsort(np.array(batch["chunk_id"].to_pylist(), object)))
+                asked_rows, found_rows, found_scores = [], [], []
+                for asking, held in [(anyone, np.arange(len(v)))] + [(at, np.flatnonzero(label == d)) for d, at in wanted.items()]:
                     for use, who in ((held[ok[held]], asking[~free[asking]]), (held, asking[free[asking]])):
                         for start in range(0, len(who) if len(use) else 0, 512):
                             some = who[start : start + 512]
-                            scores = q[some] @ v[use].T
+                            scores = np.round(q[some] @ v[use].T, 12)
                             top = min(most, len(use))
                             cut = -np.partition(-scores, top - 1, axis=1)[:, top - 1 : top]
-                            i, j = np.nonzero(scores >= cut)  # ties at the cut all stay
-                            parts.append(pd.DataFrame({"request_id": ids[some[i]], "chunk_id": names[use[j]], "score": scores[i, j], "k": k[some[i]]}))
-                yield pd.concat(parts) if parts else pd.DataFrame({"request_id": [], "chunk_id": [], "score": [], "k": []})
-
-        found = found.unionByName(rows.mapInPandas(search, schema))
+                            i, j = np.nonzero(scores >= cut)
+                            order = np.lexsort((by_name[use[j]], -scores[i, j], i))  # of equals at the cut the first ids
+                            i, j = i[order], j[order]
+                            within = np.arange(len(i)) - np.searchsorted(i, i) < top
+                            i, j = i[within], j[within]
+                            asked_rows.append(some[i])
+                            found_rows.append(use[j])
+                            found_scores.append(scores[i, j])
+                if asked_rows:
+                    r, c = np.concatenate(asked_rows), np.concatenate(found_rows)
+                    columns = [pa.array(ids[r], pa.string()), batch["chunk_id"].take(pa.array(c)), pa.array(np.concatenate(found_scores)), pa.array(k[r].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["request_id", "chunk_id", "score", "k"])
+
+        found = found.unionByName(rows.mapInArrow(search, schema))
     found = found.withColumn("score", F.round("score", 12)).dropDuplicates(["request_id", "chunk_id"])
     best = Window.partitionBy("request_id").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(best)).filter((F.col("rank") <= most) & (F.col("rank") <= F.col("k"))).select("request_id", "rank", "chunk_id", "score")
