@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary import config
-from granary.functions.geometry import from_centre, iou, severity, share, sure_of, uncertain, unletterbox
+from granary.functions.geometry import from_centre, severity, share, sure_of, uncertain, unletterbox
 from granary.functions.vectors import first_largest
 
 
@@ -28,17 +29,29 @@ def above_threshold(scored: DataFrame, thresholds: tuple[float, ...] = config.DE
 
 def suppressed(detections: DataFrame, keys: list[str], *, limit: float = 0.45, id_col: str = "anchor_id") -> DataFrame:
     """Greedy suppression in each group of ``keys`` (picture and class): from the best score down (ties by ``id_col``), a
-    box stays if its overlap with every box kept before is below ``limit``. Other columns stay."""
-    rest = [c for c in detections.columns if c not in keys]
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("__o"), F.col(id_col).alias("__i"), F.struct(*rest).alias("r"))), lambda a, b: F.when(a["__o"] < b["__o"], -1).when(a["__o"] > b["__o"], 1).when(a["__i"] < b["__i"], -1).when(a["__i"] > b["__i"], 1).otherwise(0))
-    grouped = detections.groupBy(*keys).agg(F.transform(ordered, lambda x: x["r"]).alias("all"))
-    none = F.slice("all", 1, 0)
+    box stays if its overlap with every box kept before is below ``limit``. Other columns stay. Groups are as large as
+    one picture's boxes; rows with a null score or box vanish."""
 
-    def step(kept: Column, one: Column) -> Column:
-        free = F.forall(kept, lambda k: iou(k["box"], one["box"]) < limit)
-        return F.when(free, F.concat(kept, F.array(one))).otherwise(kept)
+    def keep(table: pa.Table) -> pa.Table:
+        box = table["box"].combine_chunks()
+        x1, y1, x2, y2 = (box.field(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("x1", "y1", "x2", "y2"))
+        order = np.lexsort((table[id_col].to_numpy(), -table["score"].to_numpy().astype(np.float64)))
+        return table.take(pa.array(greedy(x1[order], y1[order], x2[order], y2[order], limit, order)))
 
-    return grouped.select(*keys, F.explode(F.aggregate("all", none, step)).alias("k")).select(*keys, "k.*")
+    return detections.filter("score is not null and box is not null").groupBy(*keys).applyInArrow(keep, detections.schema)
+
+
+def greedy(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, limit: float, names: np.ndarray) -> np.ndarray:
+    """Of boxes from best to worst the ``names`` of those that stay."""
+    areas = np.maximum(x2 - x1, 0) * np.maximum(y2 - y1, 0)
+    free = np.ones(len(names), bool)
+    for i in range(len(names)):
+        if free[i]:
+            rest = i + 1 + np.flatnonzero(free[i + 1 :])
+            both = np.maximum(np.minimum(x2[i], x2[rest]) - np.maximum(x1[i], x1[rest]), 0) * np.maximum(np.minimum(y2[i], y2[rest]) - np.maximum(y1[i], y1[rest]), 0)
+            union = areas[i] + areas[rest] - both
+            free[rest[np.where(union > 0, both / np.where(union > 0, union, 1), 0.0) >= limit]] = False
+    return names[free]
 
 
 def in_picture(detections: DataFrame, images: DataFrame) -> DataFrame:
@@ -151,7 +164,7 @@ def findings(masks: DataFrame, scores: DataFrame, images: DataFrame) -> DataFram
     pixels = images.agg(F.coalesce(F.sum(F.col("orig_w").cast("bigint") * F.col("orig_h")), F.lit(0)).alias("__all"))
     areas = union_area(masks, ["image_index", "class_name"]).groupBy("class_name").agg(F.sum("pixels").alias("affected_pixels"))
     seen = scores.groupBy("class_name").agg(F.max("score").alias("confidence"), F.count("*").alias("lesions"), F.sort_array(F.collect_set("image_index")).alias("image_indices"))
-    joined = seen.join(areas, "class_name", "left").fillna(0, ["affected_pixels"]).join(F.broadcast(pixels))
+    joined = seen.join(areas, "class_name", "left").fillna(0, ["affected_pixels"]).withColumn("__all", pixels.scalar())
     ratio = share(F.col("affected_pixels"), F.col("__all"))
     return joined.select("class_name", "confidence", "lesions", "affected_pixels", ratio.alias("affected_ratio"), severity(ratio).alias("severity"), "image_indices").orderBy(F.desc("affected_ratio"), "class_name")
 
@@ -162,7 +175,7 @@ def overall_area(masks: DataFrame, images: DataFrame) -> DataFrame:
     covered = union_area(masks, ["image_index"]).agg(F.coalesce(F.sum("pixels"), F.lit(0)).alias("affected_pixels"))
     counted = masks.agg(F.count("*").alias("lesions"))
     ratio = share(F.col("affected_pixels"), F.col("__all"))
-    return covered.crossJoin(counted).crossJoin(pixels).select("affected_pixels", "lesions", ratio.alias("affected_ratio"), severity(ratio).alias("severity"))  # one row each
+    return covered.withColumns({"lesions": counted.scalar(), "__all": pixels.scalar()}).select("affected_pixels", "lesions", ratio.alias("affected_ratio"), severity(ratio).alias("severity"))
 
 
 def panicle_verdicts(scores: DataFrame, threshold: float = 0.5, margin: float = 0.10) -> DataFrame:

@@ -45,6 +45,6 @@ def schema_gaps(columns: list[str]) -> tuple[list[str], list[str]]:
 def reconciled(source: DataFrame, loaded: DataFrame, key: str) -> DataFrame:
     """One row: rows of both, keys missing from the loaded, keys not in the source."""
     one, two = source.select(key).distinct(), loaded.select(key).distinct()
-    missing, extra = one.join(two, key, "left_anti").agg(F.count("*").alias("missing")), two.join(one, key, "left_anti").agg(F.count("*").alias("extra"))
-    counts = source.agg(F.count("*").alias("source_rows")).crossJoin(loaded.agg(F.count("*").alias("loaded_rows")))
-    return counts.crossJoin(missing).crossJoin(extra)  # one row each
+    missing, extra = one.join(two, key, "left_anti").agg(F.count("*").alias("n")), two.join(one, key, "left_anti").agg(F.count("*").alias("n"))
+    loaded_rows = loaded.agg(F.count("*").alias("n"))
+    return source.agg(F.count("*").alias("source_rows")).withColumns({"loaded_rows": loaded_rows.scalar(), "missing": missing.scalar(), "extra": extra.scalar()})

@@ -128,5 +128,5 @@ def section_statistics(narrative: DataFrame, bibliography: DataFrame) -> DataFra
         F.avg("word_count").alias("mean_words"), F.max("word_count").alias("most_words"), F.count_if(F.col("heading").isNull()).alias("headless"),
     )
     cited = bibliography.agg(F.coalesce(F.sum("word_count"), F.lit(0)).alias("bibliography_words"))
-    both = stats.crossJoin(cited)  # one row each
+    both = stats.withColumn("bibliography_words", cited.scalar())
     return both.withColumn("bibliography_share", F.try_divide("bibliography_words", F.col("words") + F.col("bibliography_words")))

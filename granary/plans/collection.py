@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from granary import config
-from granary.operators import chunking, provenance, quality
+from granary.operators import chunking, provenance, quality, records, reports
 from granary.plans.common import table
 from granary.sources.files import to_collection
 
@@ -108,14 +108,65 @@ def name_checks(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("source_document", provenance.name_mismatch(stem, F.col("title"), F.col("sample")).alias("finding"))
 
 
+def thinnest_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """The six sources with most short chunks, then without those that have none."""
+    short = F.sort_array(F.collect_set(F.when(F.col("word_count") < 60, F.col("page_start"))))
+    rows = table(spark, folder, "chunks").groupBy(F.col("source_document").alias("filename")).agg(short.alias("thin_pages"))
+    return reports.thinnest(rows).select("filename", F.size("thin_pages").alias("n"))
+
+
+def caption_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every source the first five caption chunks, at most two of a page."""
+    rows = table(spark, folder, "chunks").filter("chunk_type = 'figure_caption' and page_start is not null")
+    pages = rows.groupBy(F.col("source_document").alias("filename"), F.col("page_start").alias("page")).agg(F.sort_array(F.collect_set("chunk_id")).alias("captions"))
+    return reports.samples(pages).select("filename", F.array_join("samples", "|").alias("samples"))
+
+
+def top_line_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every part the line of largest price: the top of each key."""
+    rows = table(spark, folder, "lineitem").select("l_partkey", F.col("l_extendedprice").alias("score"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("det_id"))
+    return reports.top_detection(rows, ["l_partkey"])
+
+
+def confidence_labels(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "events").select(reports.confidence_label(F.col("event_id") % 101 / 100).alias("label"), reports.message_error(F.col("event_type")).alias("error"))
+    return rows.groupBy("label", "error").agg(F.count("*").alias("n"))
+
+
+def record_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Treatment chunks as verified records: which printed values stand on the page that they cite."""
+    rows = table(spark, folder, "chunks").filter("chunk_type = 'treatment_record'").dropDuplicates(["chunk_id"])
+    none = F.lit(None).cast("string")
+    record = F.struct(
+        F.col("recommended_treatment").alias("fungicide"), "active_ingredient", F.col("dosage").alias("rate_per_acre"), none.alias("cultivar_reaction"), none.alias("percent_positive_stops"),
+        none.alias("percent_infected_tillers"), none.alias("comments"), "disease_name", "source_disease_label",
+    )
+    # Each chunk is a table of one record on a page of its own, known by the chunk's hash.
+    page = F.xxhash64("chunk_id")
+    tables = rows.select(F.col("chunk_id").alias("table_id"), page.alias("page"), F.col("section").alias("caption"), "disease_name", F.array(record).alias("records"))
+    return records.verified(tables, rows.select(page.alias("page"), "text")).select(F.col("table_id").alias("chunk_id"), "field", "value", "found")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (manifest_overlay, key_report, class_report, chunk_report, unsafe_chunks, unexpected_classes, label_sets, reconciled, quarantine, union_chunks, densest_sources, distribution,
+    for f in (thinnest_sources, caption_samples, top_line_items, confidence_labels, record_checks, manifest_overlay, key_report, class_report, chunk_report, unsafe_chunks, unexpected_classes, label_sets, reconciled, quarantine, union_chunks, densest_sources, distribution,
               dimension_overlay, event_gaps, sectionized_events, name_checks)
 }
 
 _CANON = ", ".join(f"'{c}'" for c in config.CANONICAL_CLASSES)
 SQL = {
+    "thinnest_sources": """
+        with n as (select source_document as filename, count(distinct page_start) filter (where word_count < 60) as n from chunks group by all), t as (select * from n order by n desc, filename limit 6)
+        select filename, cast(n as integer) as n from t where n > 0""",
+    "caption_samples": """
+        with d as (select distinct source_document as filename, page_start as page, chunk_id from chunks where chunk_type = 'figure_caption' and page_start is not null),
+        p as (select *, row_number() over (partition by filename, page order by chunk_id) as k from d), q as (select *, row_number() over (partition by filename order by page, chunk_id) as m from p where k <= 2)
+        select filename, string_agg(chunk_id, '|' order by m) as samples from q where m <= 5 group by filename""",
+    "top_line_items": "select distinct on (l_partkey) l_partkey, l_extendedprice as score, l_orderkey * 8 + l_linenumber as det_id from lineitem order by l_partkey, l_extendedprice desc, l_orderkey * 8 + l_linenumber",
+    "confidence_labels": """
+        with e as (select case when event_id % 101 / 100 >= 0.85 then 'high' when event_id % 101 / 100 >= 0.65 then 'medium' else 'low' end as label,
+            case when length(coalesce(event_type, '')) = 0 then 'empty_message' when length(event_type) > 4000 then 'message_too_long' end as error from events)
+        select label, error, count(*) as n from e group by all""",
     "manifest_overlay": """
         with d as (select distinct source_document as filename from chunks), k as (select min(parent_work) as def from manifest_parents),
         o as (select distinct on (filename) * from manifest_overrides order by filename, verified_title nulls first, organization nulls first, document_type nulls first, has_parent_work nulls first,

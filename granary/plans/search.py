@@ -22,7 +22,7 @@ def filtered_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The five nearest vectors of one label to vector 0."""
     rows = table(spark, folder, "embeddings")
     query = rows.filter("vec_id = 0").select(F.col("embedding").alias("q"))
-    scored = rows.filter("label = 3 and vec_id <> 0").join(F.broadcast(query)).withColumn("score", V.dot(F.col("embedding"), F.col("q")))
+    scored = rows.filter("label = 3 and vec_id <> 0").withColumn("q", query.scalar()).withColumn("score", V.dot(F.col("embedding"), F.col("q")))
     return scored.orderBy(F.desc("score"), "vec_id").limit(5).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
