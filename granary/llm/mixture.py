@@ -56,6 +56,8 @@ def token_count(docs: DataFrame, text_col: str, tokenizer: str | None, into: str
 
 def split_quotas(units: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
     """(sources x shards) shares of ``units``: shards of equal size, to one unit, drawn without replacement."""
+    if units.sum() >= 1_000_000_000:
+        raise ValueError("a billion blocks or more; use a larger block_docs")
     out = np.zeros((len(units), shards), np.int64)
     waiting = [(0, shards, units.astype(np.int64))]
     while waiting:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from granary.llm.neighbours import fit_forest, search_leaves, similar_pairs, similar_vectors
 
@@ -35,6 +36,23 @@ def test_recall_against_brute_force(spark):
     assert all(sorted(r for r, _ in v) == [1, 2, 3, 4, 5] for v in found.values())
 
 
+def test_only_the_asked_ids_come_out(spark):
+    rng = np.random.default_rng(3)
+    rows = {f"v{i:03d}": rng.standard_normal(8).astype(np.float32).tolist() for i in range(300)}
+    asked = F.col("chunk_id").isin("v007", "v100")
+    got = similar_vectors(spark.createDataFrame(list(rows.items()), SCHEMA), dim=8, k=3, queries=asked, leaf_rows=32, probes=60).collect()
+    truth = brute(rows, 3)
+    assert {r["id"] for r in got} == {"v007", "v100"} and all(r["neighbour_id"] == truth[r["id"]][r["rank"] - 1] for r in got)
+
+
+def test_a_third_of_near_copies(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.standard_normal(16) + 0.01 * rng.standard_normal((500, 16)), rng.standard_normal((1000, 16))]).astype(np.float32)
+    frame = spark.createDataFrame([(f"v{i:04d}", v.tolist()) for i, v in enumerate(x)], SCHEMA)
+    got = similar_vectors(frame, dim=16, k=4, floor=0.9, leaf_rows=64).collect()
+    assert sum(r["id"] < "v0500" for r in got) == 500 * 4
+
+
 def test_copies_ties_and_unusable_rows(spark):
     e = np.eye(4, dtype=np.float32).tolist()
     rows = [(f"copy{i}", e[0]) for i in range(9)] + [("copy0", e[0])] * 3
