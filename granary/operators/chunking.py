@@ -155,7 +155,12 @@ def class_coverage(pages: DataFrame, lexicon: dict[str, str] | None = None, *, s
     (filename, text); ``documents`` maps file to mentions for its three largest."""
     from pyspark.sql.window import Window
 
-    counted = pages.select("filename", "text", F.explode(class_hits(F.col("text"), lexicon or config.COVERAGE_LEXICON)).alias("c"), F.aggregate(class_hits(F.col("text"), lexicon or config.COVERAGE_LEXICON), F.lit(0), lambda s, x: s + x["n"]).alias("total"))
+
+    def with_total(found: Column) -> Column:
+        total = F.aggregate(found, F.lit(0), lambda s, x: s + x["n"])
+        return F.transform(found, lambda c: F.struct(c["n"].alias("n"), c["name"].alias("name"), total.alias("total")))
+
+    counted = pages.select("filename", "text", F.explode(once(class_hits(F.col("text"), lexicon or config.COVERAGE_LEXICON), with_total)).alias("c")).withColumn("total", F.col("c.total"))
     treat, inoc = matches(F.col("text"), config.COVERAGE_TREATMENT), matches(F.col("text"), config.COVERAGE_INOCULATION)
     found = counted.filter("c.n > 0").select("filename", F.col("c.name").alias("class_name"), F.col("c.n").alias("n"), (F.col("c.n") / F.col("total") >= share).alias("primary"), treat.alias("treat"), inoc.alias("inoc"))
     stats = found.groupBy("class_name").agg(

@@ -44,11 +44,11 @@ def near_duplicates(texts: DataFrame, id_col: str, text_col: str = "text", *, k:
     rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     rows = rows.groupBy(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")).agg(F.min_by("text", "id").alias("text"), F.min("id").alias("id"))
     letters = F.size(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != ""))
-    sets = rows.filter(letters >= least_words).select("id", shingle_hashes(F.col("text"), k).alias("grams")).filter("size(grams) > 0")
-    grams = stored(sets.select("id", F.size("grams").alias("size"), F.explode("grams").alias("gram")))
+    sets = stored(rows.filter(letters >= least_words).select("id", shingle_hashes(F.col("text"), k).alias("grams")).filter("size(grams) > 0"))
+    grams = sets.select("id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
     often = grams.groupBy("gram").agg(F.count("*").alias("docs")).filter("docs > 1")
     met = stored(grams.join(often, "gram"))  # shingles of one text alone can't be shared; they come first in its order
-    alone = grams.groupBy("id").agg(F.max("size").alias("of")).join(met.groupBy("id").agg(F.count("*").alias("common")), "id")
+    alone = met.groupBy("id").agg(F.max("size").alias("of"), F.count("*").alias("common"))
     ranked = met.join(alone, "id").withColumn("place", F.col("of") - F.col("common") + F.row_number().over(Window.partitionBy("id").orderBy("docs", "gram")))
     # A meeting must lie within the first size - ceil(overlap * size) + 1 shingles of the smaller set.
     prefix = ranked.withColumn("in_prefix", F.col("place") <= F.col("size") - F.ceil(F.lit(overlap) * F.col("size") - 1e-9) + 1).select("id", "size", "gram", "in_prefix")

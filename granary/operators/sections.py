@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from granary.functions.text import SPACES, collapsed, matches, word_count
 from granary.operators.layout import body_font_size
+from granary.storage import stored
 
 # Shapes of headings and of lines that are none.
 NUMBERED = r"^\d+(\.\d+){0,3}\.?\s+[A-Z(]"
@@ -65,17 +66,19 @@ def sections(ordered: DataFrame, decks: DataFrame | None = None) -> DataFrame:
     Sections without heading and with fewer than five words vanish; headings of short sections pass to the
     next long one, or to the last; documents without a long section vanish.
     """
+    ordered = stored(ordered.select("filename", "page", "place", "line_no", "size", "text"))  # read for sizes and for lines
     sizes = body_font_size(ordered)
     lines = ordered.join(F.broadcast(sizes), "filename")
     lines = lines.withColumn("is_deck", F.lit(False)) if decks is None else lines.join(F.broadcast(decks), "filename", "left").fillna(False, ["is_deck"])
-    heading = (matches(F.col("text"), NUMBERED, any_case=False) | (F.col("size") >= F.col("body_size") + _LARGER)) & plausible_heading(F.col("text"))
+    lines = lines.withColumn("gate", plausible_heading(F.col("text")))
+    heading = F.col("gate") & (matches(F.col("text"), NUMBERED, any_case=False) | (F.col("size") >= F.col("body_size") + _LARGER))
     figure = ~F.col("is_deck") & matches(F.col("text"), FIGURE) & (F.col("size") <= F.col("body_size"))
     lines = lines.filter(~figure)
     first = F.row_number().over(Window.partitionBy("filename", "page").orderBy("place")) == 1
     lines = lines.withColumn("first", first)
     lines = lines.withColumns({
         "opens": F.when(F.col("is_deck"), F.col("first")).otherwise(heading),
-        "heads": F.when(F.col("is_deck"), F.col("first") & plausible_heading(F.col("text"))).otherwise(heading),
+        "heads": F.when(F.col("is_deck"), F.col("first") & F.col("gate")).otherwise(heading),
     })
     flow = Window.partitionBy("filename").orderBy("page", "place")
     numbered = lines.withColumn("raw_index", F.sum(F.col("opens").cast("int")).over(flow))
@@ -85,8 +88,8 @@ def sections(ordered: DataFrame, decks: DataFrame | None = None) -> DataFrame:
         F.min("page").alias("page_start"), F.max("page").alias("page_end"),
     )
     body = F.regexp_replace(collapsed(F.col("body")), f"(?U)(\\w)­{SPACES[:-1]}*(\\w)", "$1$2")
-    raw = raw.withColumn("text", body).withColumn("word_count", word_count(F.col("text"))).drop("body")
-    return merge_short(raw)
+    raw = stored(raw.withColumn("text", body).drop("body"))  # the long texts are formed once
+    return merge_short(raw.withColumn("word_count", word_count(F.col("text"))))
 
 
 def merge_short(raw: DataFrame) -> DataFrame:
