@@ -4,7 +4,8 @@ A forest of random-projection trees is fitted on a bounded sample; every row is
 each tree. A query visits the leaves of all trees in the order of one shared priority queue, the priority
 of a leaf being the smallest signed margin on its path. Rows that meet in a leaf are compared as one
 matrix product over 8-bit copies of the vectors, and the surviving candidates are ranked again exactly, in
-double precision, over the original vectors.
+double precision, over the original vectors. A row with many rows near it in one leaf lies in a bundle that
+spreads over more leaves than it visits; such rows are compared with all rows, in double precision.
 """
 
 from __future__ import annotations
@@ -28,6 +29,11 @@ _SCORES = 2_000_000
 #: How far an 8-bit cosine may lie from the exact one, and how many places more it keeps for reranking.
 _SLACK = 0.02
 _SPARE = 8
+#: A row is crowded if more than so many rows of one leaf come within this cosine of the floor (or of 0.90 without one).
+_CROWD = 32
+_CROWD_WITHIN = 0.15
+#: Crowded rows that are sent to every executor at once (64 floats each: about 8 MB); more go in blocks.
+_CROWD_BLOCK = 32_768
 #: Rows of one leaf that one task compares; beyond it the leaf's rows are dealt to several tasks.
 _LEAF_TASK_ROWS = 65_536
 
@@ -151,11 +157,15 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _units(rows: np.ndarray) -> np.ndarray:
-    """Directions in float32; scaling by the largest element first keeps tiny and huge vectors finite."""
+def _wide_units(rows: np.ndarray) -> np.ndarray:
+    """Directions in float64; scaling by the largest element first keeps tiny and huge vectors finite."""
     wide = rows.astype(np.float64)
     wide = wide / np.abs(wide).max(1, keepdims=True)
-    return (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
+    return wide / np.linalg.norm(wide, axis=1, keepdims=True)
+
+
+def _units(rows: np.ndarray) -> np.ndarray:
+    return _wide_units(rows).astype(np.float32)
 
 
 def _codes(units: np.ndarray) -> np.ndarray:
@@ -188,7 +198,9 @@ def similar_vectors(
     ``floor`` drops neighbours of smaller cosine. ``queries`` is a condition on ``id_col`` that picks the
     ids that are asked for; all rows are searched in any case. The forest is fitted on at most
     ``sample_rows`` rows; every row is indexed. ``probes`` leaves are visited of all trees together, at
-    least one of each; recall grows with it (README gives measured figures).
+    least one of each; recall grows with it (README gives measured figures). Rows of crowded surroundings are
+    compared with all rows instead, so that in a bundle of near copies of any size no neighbour is missed; that
+    costs the number of such rows times the number of all.
 
     Rows with a null id, a vector that is null, of another length than ``dim``, with a null, infinite or NaN
     element, or all zero take no part. An id that occurs again with the same vector counts once; of
@@ -211,6 +223,7 @@ def similar_vectors(
     forest = fit_forest(_units(sample), trees, leaf_rows * len(sample) / total, seed)
     deal = max(1, -(-total // max(1, forest.leaves // trees)) // _LEAF_TASK_ROWS)
     shared = spark.sparkContext.broadcast(forest)
+    dense = (0.90 if floor is None else floor) - _CROWD_WITHIN
 
     # One row per distinct vector (its class) besides the table of the ids in each class.
     raw = raw.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
@@ -249,9 +262,11 @@ def similar_vectors(
         against = codes[member].T.copy()
         pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         top = min(k + _SPARE, len(member))
+        crowd = [np.zeros(0, np.int64)]
         for start in range(0, len(asker) if len(member) else 0, max(1, _SCORES // max(1, len(member)))):
             who = asker[start : start + max(1, _SCORES // len(member))]
             score = codes[who] @ against
+            crowd.append(who[(score >= dense).sum(1) > _CROWD + 1])
             if floor is not None:
                 flat = np.flatnonzero(score >= floor - _SLACK)
                 i, j = np.divmod(flat, len(member))
@@ -270,15 +285,22 @@ def similar_vectors(
             other = member[j] != who[i]
             pairs.append((who[i[other]], member[j[other]], s[other]))
         q, m, s = (np.concatenate([p[n] for p in pairs]) if pairs else np.zeros(0, np.int64 if n < 2 else np.float32) for n in range(3))
+        lost = np.concatenate(crowd)  # told as rows that are near themselves
+        kept = ~np.isin(q, lost)
+        q, m, s = np.concatenate([q[kept], lost]), np.concatenate([m[kept], lost]), np.concatenate([s[kept], np.ones(len(lost), np.float32)])
         return pa.table({"q1": h1[q], "q2": h2[q], "m1": h1[m], "m2": h2[m], "near": pa.array(s, pa.float32())})
 
     filed = classes.mapInArrow(route, "leaf int, role tinyint, h1 bigint, h2 bigint, code binary")
     met = filed.groupBy("leaf").applyInArrow(meet, "q1 bigint, q2 bigint, m1 bigint, m2 bigint, near float")
     met = met.groupBy("q1", "q2", "m1", "m2").agg(F.max("near").alias("near"))
     best = Window.partitionBy("q1", "q2").orderBy(F.desc("near"), "m1", "m2")
-    met = met.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + _SPARE).drop("place", "near")
+    itself = (F.col("q1") == F.col("m1")) & (F.col("q2") == F.col("m2"))
+    met = met.withColumn("crowded", F.max(itself).over(Window.partitionBy("q1", "q2"))).filter(itself | ~F.col("crowded"))
+    met = stored(met.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + _SPARE).drop("place", "near"))
 
     sides = classes.select("h1", "h2", "v")
+    crowded = met.filter("crowded").select(F.col("q1").alias("h1"), F.col("q2").alias("h2"))
+    met = met.filter("not crowded").drop("crowded")
     both = met.join(sides.select(F.col("h1").alias("q1"), F.col("h2").alias("q2"), F.col("v").alias("a")), ["q1", "q2"])
     both = both.join(sides.select(F.col("h1").alias("m1"), F.col("h2").alias("m2"), F.col("v").alias("b")), ["m1", "m2"])
 
@@ -291,6 +313,9 @@ def similar_vectors(
                 yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("q1", "q2", "m1", "m2")), pa.array(np.minimum(cosine, 1.0))], names=["q1", "q2", "m1", "m2", "cosine"])
 
     ranked = both.mapInArrow(exact, "q1 bigint, q2 bigint, m1 bigint, m2 bigint, cosine double")
+    n_crowded = crowded.count()
+    if n_crowded:
+        ranked = ranked.unionByName(_against_all(stored(crowded.join(sides, ["h1", "h2"])), n_crowded, sides, dim, k))
     if floor is not None:
         ranked = ranked.filter(F.col("cosine") >= floor)
     copies = used.filter((F.col("n") > 1) & F.col("asks"))
@@ -298,6 +323,60 @@ def similar_vectors(
     return _for_ids(ranked, ids, k)
 
 
+def _against_all(asked: DataFrame, n_asked: int, rows: DataFrame, dim: int, k: int) -> DataFrame:
+    """(q1, q2, m1, m2, cosine): for every asked (h1, h2, v) the ``k`` nearest other rows of all, in double precision.
+
+    The asked rows go in blocks of bounded size; every task keeps the best of each over the rows it reads.
+    """
+    spark = rows.sparkSession
+    schema = "q1 bigint, q2 bigint, m1 bigint, m2 bigint, cosine double"
+    blocks = -(-n_asked // _CROWD_BLOCK)
+    found = spark.createDataFrame([], schema)
+    for block in range(blocks):
+        told = asked.filter(F.pmod(F.xxhash64(F.lit(2), "h1", "h2"), F.lit(blocks)) == block).toArrow()
+        if not told.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast((told["h1"].to_numpy(), told["h2"].to_numpy(), _matrix(told["v"], dim)))
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            h1, h2, v = shared.value
+            q = _wide_units(v)
+            best = np.full((len(q), k), -np.inf)
+            names = np.zeros((len(q), k, 2), np.int64)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = _wide_units(_matrix(batch["v"], dim))
+                m = np.stack([batch[c].to_numpy() for c in ("h1", "h2")], 1)
+                step = max(1, _SCORES // len(x))
+                for start in range(0, len(q), step):
+                    at = slice(start, start + step)
+                    score = q[at] @ x.T
+                    cut = best[at, -1]
+                    some = score[:, :512]
+                    if some.shape[1] > k + 1:  # one of these may be the row itself
+                        cut = np.maximum(cut, np.partition(some, -k - 1, axis=1)[:, -k - 1])
+                    i, j = np.nonzero(score >= cut[:, None])
+                    other = (m[j, 0] != h1[at][i]) | (m[j, 1] != h2[at][i])
+                    i, j = i[other], j[other]
+                    who = np.unique(i)
+                    r = np.concatenate([i, np.repeat(who, k)])
+                    s = np.concatenate([score[i, j], best[at][who].ravel()])
+                    n = np.concatenate([m[j], names[at][who].reshape(-1, 2)])
+                    order = np.lexsort((n[:, 1], n[:, 0], -s, r))
+                    r, s, n = r[order], s[order], n[order]
+                    place = np.arange(len(r)) - np.searchsorted(r, r)
+                    first = place < k
+                    best[start + r[first], place[first]] = s[first]
+                    names[start + r[first], place[first]] = n[first]
+            r, c = np.nonzero(best > -np.inf)
+            columns = [h1[r], h2[r], names[r, c, 0], names[r, c, 1], np.minimum(best[r, c], 1.0)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["q1", "q2", "m1", "m2", "cosine"])
+
+        found = found.unionByName(rows.mapInArrow(scan, schema))
+    return found
+
+
 def _asking(ids: DataFrame, id_col: str, queries: Column) -> DataFrame:
     return ids.withColumnRenamed("id", id_col).withColumn("asks", F.coalesce(queries.cast("boolean"), F.lit(False))).withColumnRenamed(id_col, "id")
 

@@ -53,6 +53,40 @@ def test_a_third_of_near_copies(spark):
     assert sum(r["id"] < "v0500" for r in got) == 500 * 4
 
 
+def recall(found, x: np.ndarray, k: int) -> float:
+    """Share of the true ``k`` nearest of every row (named by its number) that are listed."""
+    x = x.astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    truth = np.argsort(-s, axis=1)[:, :k]
+    listed = {(int(r["id"]), int(r["neighbour_id"])) for r in found}
+    return float(np.mean([(i, int(j)) in listed for i, row in enumerate(truth) for j in row]))
+
+
+@pytest.mark.parametrize("spread", [0.2, 0.45])  # all cosines above the floor, and most below it
+def test_a_third_in_one_bundle_over_many_leaves(spark, spread):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.choice([-1.0, 1.0], 32) + spread * rng.standard_normal((3000, 32)), rng.standard_normal((6000, 32))]).astype(np.float32)
+    frame = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(x)], SCHEMA)
+    near = similar_vectors(frame, dim=32, k=5, floor=0.9, leaf_rows=128).collect()
+    unit = x[:3000].astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    s = unit @ unit.T
+    np.fill_diagonal(s, -2)
+    truth = {(i, int(j)) for i in range(3000) for j in np.argsort(-s[i])[:5] if s[i, j] >= 0.9}
+    listed = {(int(r["id"]), int(r["neighbour_id"])) for r in near}
+    assert len(truth) > 1000 and len(truth & listed) >= 0.999 * len(truth)
+
+
+def test_crowded_rows_go_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr("granary.llm.neighbours._CROWD_BLOCK", 100)
+    rng = np.random.default_rng(7)
+    x = (1 + 0.2 * rng.standard_normal((400, 16))).astype(np.float32)
+    frame = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(x)], SCHEMA)
+    assert recall(similar_vectors(frame, dim=16, k=5, floor=0.5, leaf_rows=64).collect(), x, 5) == 1.0
+
+
 def test_copies_ties_and_unusable_rows(spark):
     e = np.eye(4, dtype=np.float32).tolist()
     rows = [(f"copy{i}", e[0]) for i in range(9)] + [("copy0", e[0])] * 3
