@@ -26,10 +26,10 @@ RESULT = "id string, neighbour_id string, cosine double, rank int"
 #: Bytes of float32 that one routing step may gather at once, and scores that one product may make.
 _GATHER_FLOATS = 2_000_000
 _SCORES = 2_000_000
-#: How far an 8-bit cosine may lie from the exact one, and how many places more it keeps for reranking.
-_SLACK = 0.02
-_SPARE = 8
-#: A row is crowded if more than so many rows of one leaf come within this cosine of the floor (or of 0.90 without one).
+#: Bound of the rounding of a float32 product of unit vectors, per element.
+_ROUNDING = 2.0**-22
+#: A row is crowded if more than so many rows of one leaf come within this cosine of the floor (or of 0.90 without one), or
+#: if the 8-bit cosines leave open which ``k`` of more than so many rows of one leaf are the nearest.
 _CROWD = 32
 _CROWD_WITHIN = 0.15
 #: Crowded rows that are sent to every executor at once (64 floats each: about 8 MB); more go in blocks.
@@ -172,6 +172,12 @@ def _codes(units: np.ndarray) -> np.ndarray:
     return np.rint(units * (127 / np.abs(units).max(1, keepdims=True))).astype(np.int8)
 
 
+def _code_errors(units: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Distance of each unit vector from the direction of its code, rounded up. Two cosines differ by no more than the sum."""
+    near = codes / np.linalg.norm(codes.astype(np.float64), axis=1, keepdims=True)
+    return np.nextafter(np.linalg.norm(units - near, axis=1).astype(np.float16), np.float16(np.inf))
+
+
 def _bytes_of(codes: np.ndarray) -> pa.Array:
     n, width = codes.shape
     offsets = np.arange(n + 1, dtype=np.int32) * width
@@ -239,6 +245,7 @@ def similar_vectors(
                 continue
             units = _units(_matrix(batch["v"], dim))
             codes = _codes(units)
+            codes = np.concatenate([codes, _code_errors(units, codes)[:, None].view(np.int8)], 1)
             asks = batch["asks"].to_numpy(zero_copy_only=False).astype(bool)
             leaf, home = _routes(shared.value, units, asks, probes)
             row, slot = np.nonzero((leaf > 0) & (home | asks[:, None]))
@@ -255,48 +262,58 @@ def similar_vectors(
                 )
 
     def meet(table: pa.Table) -> pa.Table:
-        codes = np.frombuffer(b"".join(table["code"].to_pylist()), np.int8).reshape(-1, dim).astype(np.float32)
+        sent = np.frombuffer(b"".join(table["code"].to_pylist()), np.int8).reshape(-1, dim + 2)
+        error = sent[:, dim:].copy().view(np.float16).ravel().astype(np.float32) + np.float32(dim * _ROUNDING)
+        codes = sent[:, :dim].astype(np.float32)
         codes /= np.linalg.norm(codes, axis=1, keepdims=True)
         role, h1, h2 = (table[c].to_numpy() for c in ("role", "h1", "h2"))
         member, asker = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
         against = codes[member].T.copy()
-        pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        top = min(k + _SPARE, len(member))
+        column = np.full(len(role), -1)
+        column[member] = np.arange(len(member))
+        widest = error[member].max(initial=0)
+        pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         crowd = [np.zeros(0, np.int64)]
         for start in range(0, len(asker) if len(member) else 0, max(1, _SCORES // max(1, len(member)))):
             who = asker[start : start + max(1, _SCORES // len(member))]
             score = codes[who] @ against
-            crowd.append(who[(score >= dense).sum(1) > _CROWD + 1])
-            if floor is not None:
-                flat = np.flatnonzero(score >= floor - _SLACK)
-                i, j = np.divmod(flat, len(member))
-                s = score.ravel()[flat]
-                if len(i):
-                    by = np.lexsort((-s, i))
-                    i, j, s = i[by], j[by], s[by]
-                    place = np.arange(len(i)) - np.searchsorted(i, i)
-                    within = place < top + 1
-                    i, j, s = i[within], j[within], s[within]
-            else:
-                j = np.argpartition(-score, min(top, score.shape[1] - 1), axis=1)[:, : top + 1]
-                i = np.repeat(np.arange(len(who)), j.shape[1])
-                j = j.ravel()
-                s = score[i, j]
-            other = member[j] != who[i]
-            pairs.append((who[i[other]], member[j[other]], s[other]))
-        q, m, s = (np.concatenate([p[n] for p in pairs]) if pairs else np.zeros(0, np.int64 if n < 2 else np.float32) for n in range(3))
+            here = np.flatnonzero(column[who] >= 0)
+            score[here, column[who[here]]] = -2  # a row is no neighbour of its own
+            crowded = (score >= dense).sum(1) > _CROWD
+            # No row below the cut can be among the k nearest of this leaf, or reach the floor.
+            reach = error[who] + widest
+            cut = np.full(len(who), -1.5, np.float32) if floor is None else floor - reach
+            if floor is None and len(member) > k:
+                cut = np.maximum(cut, -np.partition(-score, k - 1, axis=1)[:, k - 1] - 2 * reach)
+            i, j = np.nonzero(score >= cut[:, None])
+            s, e = score[i, j], error[who[i]] + error[member[j]]
+            by = np.lexsort((e - s, i))
+            i, j, s, e = i[by], j[by], s[by], e[by]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            sure = np.full(len(who), -2.0, np.float32)
+            sure[i[place == k - 1]] = (s - e)[place == k - 1]
+            open_ = s + e >= (sure[i] if floor is None else np.maximum(sure[i], floor))
+            i, j, s, e = i[open_], j[open_], s[open_], e[open_]
+            crowded |= np.bincount(i, minlength=len(who)) > max(_CROWD, 2 * k)
+            crowd.append(who[crowded])
+            pairs.append((who[i], member[j], s, e))
+        q, m, s, e = (np.concatenate([p[n] for p in pairs]) if pairs else np.zeros(0, np.int64 if n < 2 else np.float32) for n in range(4))
         lost = np.concatenate(crowd)  # told as rows that are near themselves
         kept = ~np.isin(q, lost)
-        q, m, s = np.concatenate([q[kept], lost]), np.concatenate([m[kept], lost]), np.concatenate([s[kept], np.ones(len(lost), np.float32)])
-        return pa.table({"q1": h1[q], "q2": h2[q], "m1": h1[m], "m2": h2[m], "near": pa.array(s, pa.float32())})
+        q, m = np.concatenate([q[kept], lost]), np.concatenate([m[kept], lost])
+        s, e = (np.concatenate([x[kept], np.ones(len(lost), np.float32)]) for x in (s, e))
+        return pa.table({"q1": h1[q], "q2": h2[q], "m1": h1[m], "m2": h2[m], "near": pa.array(s, pa.float32()), "error": pa.array(e, pa.float32())})
 
     filed = classes.mapInArrow(route, "leaf int, role tinyint, h1 bigint, h2 bigint, code binary")
-    met = filed.groupBy("leaf").applyInArrow(meet, "q1 bigint, q2 bigint, m1 bigint, m2 bigint, near float")
-    met = met.groupBy("q1", "q2", "m1", "m2").agg(F.max("near").alias("near"))
-    best = Window.partitionBy("q1", "q2").orderBy(F.desc("near"), "m1", "m2")
+    met = filed.groupBy("leaf").applyInArrow(meet, "q1 bigint, q2 bigint, m1 bigint, m2 bigint, near float, error float")
+    met = met.groupBy("q1", "q2", "m1", "m2").agg(F.max("near").alias("near"), F.max("error").alias("error"))
+    # Of all leaves those stay that may be nearer than the k-th is for certain.
+    asker = Window.partitionBy("q1", "q2")
     itself = (F.col("q1") == F.col("m1")) & (F.col("q2") == F.col("m2"))
-    met = met.withColumn("crowded", F.max(itself).over(Window.partitionBy("q1", "q2"))).filter(itself | ~F.col("crowded"))
-    met = stored(met.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + _SPARE).drop("place", "near"))
+    met = met.withColumn("place", F.row_number().over(asker.orderBy((F.col("near") - F.col("error")).desc(), "m1", "m2")))
+    met = met.withColumns({"sure": F.max(F.when(F.col("place") == k, F.col("near") - F.col("error"))).over(asker), "crowded": F.max(itself).over(asker)})
+    open_ = F.col("sure").isNull() | (F.col("near") + F.col("error") >= F.col("sure"))
+    met = stored(met.filter(itself | (~F.col("crowded") & open_)).select("q1", "q2", "m1", "m2", "crowded"))
 
     sides = classes.select("h1", "h2", "v")
     crowded = met.filter("crowded").select(F.col("q1").alias("h1"), F.col("q2").alias("h2"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granary.llm.neighbours import fit_forest, search_leaves, similar_pairs, similar_vectors
+from granary.llm.neighbours import _code_errors, _codes, _units, fit_forest, search_leaves, similar_pairs, similar_vectors
 
 SCHEMA = "chunk_id string, vector array<float>"
 
@@ -79,6 +79,24 @@ def test_a_third_in_one_bundle_over_many_leaves(spark, spread):
     assert len(truth) > 1000 and len(truth & listed) >= 0.999 * len(truth)
 
 
+@pytest.mark.parametrize(("rows", "floor"), [(25, 0.9), (500, 0.9), (500, None)])
+def test_the_nearest_of_near_copies_survive_the_codes(spark, rows, floor):
+    rng = np.random.default_rng(8)
+    x = (rng.standard_normal(64) + 0.01 * rng.standard_normal((rows, 64))).astype(np.float32)
+    frame = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(x)], SCHEMA)
+    assert recall(similar_vectors(frame, dim=64, k=5, floor=floor, leaf_rows=1024).collect(), x, 5) == 1.0
+
+
+def test_no_cosine_lies_farther_from_that_of_the_codes_than_the_errors(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((300, 64)) * rng.choice([0.01, 1.0], (300, 64), p=[0.9, 0.1])
+    u = _units(x)
+    c = _codes(u)
+    e = _code_errors(u, c).astype(np.float64)
+    d = c / np.linalg.norm(c.astype(np.float64), axis=1, keepdims=True)
+    assert (np.abs(u.astype(np.float64) @ u.T - d @ d.T) <= e[:, None] + e[None] + 1e-7).all()
+
+
 def test_crowded_rows_go_in_blocks(spark, monkeypatch):
     monkeypatch.setattr("granary.llm.neighbours._CROWD_BLOCK", 100)
     rng = np.random.default_rng(7)
