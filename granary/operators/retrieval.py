@@ -118,6 +118,56 @@ def request_results(requests: DataFrame, chunks: DataFrame, limits: RetrievalLim
     return found.withColumn("rank", F.row_number().over(best)).filter((F.col("rank") <= most) & (F.col("rank") <= F.col("k"))).select("request_id", "rank", "chunk_id", "score")
 
 
+def query_results(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) of all queries (query_id, q and, where only rows of one label may come, label)
+    against all rows (vec_id, embedding, label): the ``k`` largest inner products, rounded to 9 places, ties by vec_id.
+
+    A row is no result of the query of its own id. Queries go in blocks of bounded size, as in ``request_results``.
+    """
+    labelled = "label" in queries.columns
+    spark = rows.sparkSession
+    asked = queries.filter("query_id is not null and q is not null").withColumn("q", F.col("q").cast("array<double>"))
+    numbered = asked.withColumn("block", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / _REQUEST_BLOCK)) if asked.count() > _REQUEST_BLOCK else asked.withColumn("block", F.lit(0).cast("bigint"))
+    blocks = sorted(r[0] for r in numbered.select("block").distinct().collect())
+    searched = rows.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>"), *([F.col("label").cast("string")] if labelled else []))
+    schema = "query_id bigint, vec_id bigint, score double"
+    found = spark.createDataFrame([], schema)
+    for block in blocks:
+        told = numbered.filter(F.col("block") == block).drop("block").toPandas()
+        shared = spark.sparkContext.broadcast((told["query_id"].to_numpy(np.int64), np.array(told["q"].tolist(), np.float64), told["label"].astype(str).to_numpy(object) if labelled else None))
+
+        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            ids, q, label = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                v = batch["embedding"].flatten().to_numpy(zero_copy_only=False).reshape(-1, q.shape[1])
+                name = batch["vec_id"].to_numpy()
+                held = np.array(batch["label"].to_pylist(), object) if labelled else None
+                asked_rows, found_rows, found_scores = [], [], []
+                for start in range(0, len(q), 256):
+                    some = np.arange(start, min(start + 256, len(q)))
+                    scores = np.round(q[some] @ v.T, 9)
+                    scores[ids[some][:, None] == name] = -np.inf
+                    if labelled:
+                        scores[label[some][:, None] != held] = -np.inf
+                    top = min(k, len(v))
+                    cut = -np.partition(-scores, top - 1, axis=1)[:, top - 1 : top]
+                    i, j = np.nonzero((scores >= cut) & (scores > -np.inf))
+                    order = np.lexsort((name[j], -scores[i, j], i))  # of equals at the cut the first ids
+                    i, j = i[order], j[order]
+                    within = np.arange(len(i)) - np.searchsorted(i, i) < top
+                    i, j = i[within], j[within]
+                    asked_rows.append(ids[some[i]])
+                    found_rows.append(name[j])
+                    found_scores.append(scores[i, j])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (asked_rows, found_rows, found_scores)], names=["query_id", "vec_id", "score"])
+
+        found = found.unionByName(searched.mapInArrow(search, schema))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def merged_first_wins(results: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Of chunks that several searches found, the first in ``order`` (search, then rank); not sorted again."""
     place = F.row_number().over(Window.partitionBy(*keys, "chunk_id").orderBy(*order))

@@ -49,6 +49,40 @@ def fanout_first_wins(spark: SparkSession, folder: str) -> DataFrame:
     return merged.select("query_id", "rank", "chunk_id")
 
 
+def _hundredths(spark: SparkSession, folder: str) -> DataFrame:
+    """The query set: every vector whose id is divisible by 100."""
+    return table(spark, folder, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+
+
+def _fanned_whole(spark: SparkSession, folder: str, each: int) -> DataFrame:
+    """The whole query set against all rows; ten neighbouring queries are one request."""
+    found = retrieval.query_results(_hundredths(spark, folder).drop("label"), table(spark, folder, "embeddings"), each)
+    return found.select("query_id", "rank", F.col("vec_id").alias("chunk_id"), "score", F.floor(F.col("query_id") / 1000).alias("request_id"))
+
+
+def filtered_topk_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors of its own label to every vector whose id is divisible by 100."""
+    found = retrieval.query_results(_hundredths(spark, folder), table(spark, folder, "embeddings"), 5)
+    return found.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+def fanout_topk_merge_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests of ten queries, three results each, first wins, the seven best of each request."""
+    merged = retrieval.merged_by_score(_fanned_whole(spark, folder, 3), ["request_id"], ["query_id", "rank"], 7)
+    return merged.select("request_id", "place", "query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def fanout_first_wins_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests of ten queries, six results each, every chunk of a request where it came first."""
+    merged = retrieval.merged_first_wins(_fanned_whole(spark, folder, 6), ["request_id"], ["query_id", "rank"])
+    return merged.select("request_id", "query_id", "rank", "chunk_id")
+
+
+_WHOLE = """
+    select query_id, chunk_id, score, rank, query_id // 1000 as request_id from (
+        select a.vec_id as query_id, b.vec_id as chunk_id, round(list_inner_product(a.embedding::double[], b.embedding::double[]), 9) as score,
+            row_number() over (partition by a.vec_id order by round(list_inner_product(a.embedding::double[], b.embedding::double[]), 9) desc, b.vec_id) as rank
+        from embeddings a join embeddings b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id {0}) where rank <= {1}"""
 _FANNED = """
     select a.vec_id as query_id, b.vec_id as chunk_id, score, rank from (
         select a.vec_id, b.vec_id as other, round(list_inner_product(a.embedding::double[], b.embedding::double[]), 9) as score,
@@ -104,7 +138,7 @@ def turn_history(spark: SparkSession, folder: str) -> DataFrame:
     return told.select("conv_id", F.size("messages").alias("n"), F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["text"])), "|").alias("told"))
 
 
-QUERIES = {f.__name__: f for f in (request_topk, filtered_topk, fanout_topk_merge, fanout_first_wins, unit_vectors, citations, passages, safe_chunks, safety_violations, turn_history)}
+QUERIES = {f.__name__: f for f in (request_topk, filtered_topk, filtered_topk_whole, fanout_topk_merge, fanout_topk_merge_whole, fanout_first_wins, fanout_first_wins_whole, unit_vectors, citations, passages, safe_chunks, safety_violations, turn_history)}
 
 _SCREEN = f"coalesce(document_type, '') = '{config.SCREENING_TYPE}'"
 SQL = {
@@ -130,6 +164,15 @@ SQL = {
     "fanout_first_wins": f"""
         with f as ({_FANNED.format(40, 6)}), w as (select *, row_number() over (partition by chunk_id order by query_id, rank) as n from f)
         select query_id, cast(rank as integer) as rank, chunk_id from w where n = 1""",
+    "filtered_topk_whole": f"select query_id, cast(rank as integer) as rank, chunk_id as vec_id, round(score, 6) as score from ({_WHOLE.format('and a.label = b.label', 5)})",
+    "fanout_topk_merge_whole": f"""
+        with f as ({_WHOLE.format('', 3)}),
+        w as (select *, row_number() over (partition by request_id, chunk_id order by query_id, rank) as n from f),
+        p as (select *, row_number() over (partition by request_id order by score desc, query_id, rank, chunk_id) as place from w where n = 1)
+        select request_id, cast(place as integer) as place, query_id, chunk_id, round(score, 6) as score from p where place <= 7""",
+    "fanout_first_wins_whole": f"""
+        with f as ({_WHOLE.format('', 6)}), w as (select *, row_number() over (partition by request_id, chunk_id order by query_id, rank) as n from f)
+        select request_id, query_id, cast(rank as integer) as rank, chunk_id from w where n = 1""",
     "unit_vectors": """
         with n as (select chunk_id, vector, len(vector) as dim, sqrt(list_sum(list_transform(vector, lambda x: x::double * x::double))) as l from chunk_vectors where vector is not null)
         select chunk_id, cast(dim as integer) as dim, round(l, 5) as length, case when l > 0 then round(sqrt(list_sum(list_transform(vector, lambda x: (x / l) * (x / l)))), 5) end as unit_length from n""",

@@ -240,3 +240,25 @@ def test_quality_checks(spark):
     assert quality.label_sets(chunks).filter("in_data and canonical").count() == 1
     assert quality.schema_gaps(["chunk_id", "extra"])[0] == ["extra"]
     assert tuple(quality.reconciled(chunks, chunks.limit(0), "chunk_id").first()) == (3, 0, 2, 0)
+
+
+def test_every_hundredth_vector_asks(spark, tmp_path):
+    from granary.plans import search
+
+    rows = [(i, [math.cos(i), math.sin(i)], i % 2) for i in range(2150)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    near = search.filtered_topk_whole(spark, str(tmp_path)).collect()
+    assert {r["query_id"] for r in near} == set(range(0, 2150, 100)) and len(near) == 22 * 5
+    assert all(r["vec_id"] % 2 == 0 and r["vec_id"] != r["query_id"] for r in near)
+    merged = search.fanout_topk_merge_whole(spark, str(tmp_path)).collect()
+    assert sorted((r["request_id"], r["place"]) for r in merged) == [(r, p) for r in range(3) for p in range(1, (8 if r < 2 else 7))]
+    first = search.fanout_first_wins_whole(spark, str(tmp_path)).collect()
+    assert {r["query_id"] for r in first} == set(range(0, 2150, 100)) and len({(r["request_id"], r["chunk_id"]) for r in first}) == len(first)
+
+
+def test_queries_in_blocks_equal_queries_at_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(300)], "vec_id bigint, embedding array<float>")
+    asked = rows.filter("vec_id < 7").selectExpr("vec_id as query_id", "embedding as q")
+    whole = sorted(R.query_results(asked, rows, 4).collect())
+    monkeypatch.setattr(R, "_REQUEST_BLOCK", 3)
+    assert sorted(R.query_results(asked, rows, 4).collect()) == whole and len(whole) == 28
