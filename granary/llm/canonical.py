@@ -28,6 +28,7 @@ LOOK_ALIKES = {
     "ԛ": "q", "ԝ": "w", "ӏ": "l", "У": "Y", "ү": "y",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
     "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϲ": "c", "Ϲ": "C", "ϳ": "j", "Ϳ": "J",
+    "α": "a", "ι": "i", "ρ": "p", "υ": "u", "Ϝ": "F", "Ϻ": "M", "Ѵ": "V", "ѵ": "v",
 }
 # Invisible characters outside the general category Cf (joiner, selectors, fillers).
 INVISIBLE = {"͏", "ᅟ", "ᅠ", "឴", "឵", "ㅤ", "ﾠ", *map(chr, range(0x180B, 0x180E)), *map(chr, range(0xFE00, 0xFE10)), *map(chr, range(0xE0100, 0xE01F0))}

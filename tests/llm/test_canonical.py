@@ -22,6 +22,11 @@ def test_a_form_stays_itself(text):
     assert canonical(once) == once
 
 
+def test_greek_and_cyrillic_letters_that_look_latin():
+    assert canonical("ραιυ ϜϺ Ѵѵ") == "paiu FM Vv" and canonical("ά") == canonical("á")
+    assert canonical("β") != "b" and canonical("г") != "r"
+
+
 def test_what_is_equal_and_what_is_not():
     assert canonical("café") == canonical("café") == canonical("cаfе​́")
     assert canonical("ｆｉｅｌｄ　１２") == canonical("ﬁeld 12") == "field 12"
