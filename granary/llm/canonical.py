@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granary.storage import stored
+
 # Cyrillic and Greek letters and the Latin letters they look like.
 LOOK_ALIKES = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C",
@@ -28,7 +30,7 @@ LOOK_ALIKES = {
     "ԛ": "q", "ԝ": "w", "ӏ": "l", "У": "Y", "ү": "y",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T",
     "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϲ": "c", "Ϲ": "C", "ϳ": "j", "Ϳ": "J",
-    "α": "a", "ι": "i", "ρ": "p", "υ": "u", "Ϝ": "F", "Ϻ": "M", "Ѵ": "V", "ѵ": "v",
+    "α": "a", "ι": "i", "ρ": "p", "υ": "u", "Ϝ": "F", "Ϻ": "M", "Ѵ": "V", "ѵ": "v", "γ": "y", "κ": "k",
 }
 # Invisible characters outside the general category Cf (joiner, selectors, fillers).
 INVISIBLE = {"͏", "ᅟ", "ᅠ", "឴", "឵", "ㅤ", "ﾠ", *map(chr, range(0x180B, 0x180E)), *map(chr, range(0xFE00, 0xFE10)), *map(chr, range(0xE0100, 0xE01F0))}
@@ -108,9 +110,9 @@ def look_alike_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("id is not null and text is not null")
     formed = with_canonical_text(rows)
-    keyed = formed.select(
+    keyed = stored(formed.select(  # read twice, formed once
         "id", F.xxhash64("canonical_text").alias("c1"), F.xxhash64(F.lit(1), "canonical_text").alias("c2"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")
-    ).distinct()
+    ).distinct())
     texts = keyed.groupBy("c1", "c2", "t1", "t2").agg(F.min("id").alias("text_id"))
     classes = texts.groupBy("c1", "c2").agg(F.min("text_id").alias("class_id"), F.count("*").alias("forms")).filter("forms > 1")
     members = texts.join(classes, ["c1", "c2"])

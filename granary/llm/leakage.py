@@ -2,8 +2,9 @@
 
 Every shard of the training text (the rows of one Arrow batch) gets a suffix array over its words. A suffix
 can only match a test passage of ``words`` words if its first ``words`` words all occur in the test items, so
-the other suffixes are left out of the array, which loses nothing. All suffixes of the test items are then
-looked up by binary search, and each hit is followed to its full length.
+the other suffixes are left out of the array, which loses nothing. Both it and the array of the test suffixes
+are in the order of the first ``words`` words; the suffixes of the smaller are looked up in the larger by binary
+search, and each hit is followed to its full length.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import types as T
 
 from granary.storage import stored
 
-#: Test words of one block, which every executor receives (their suffixes, about 60 bytes a word).
+#: Test words of one block, which every executor receives (their suffixes, about 90 bytes a word), and blocks of one pass.
 _BLOCK_WORDS = 1_000_000
+_BLOCKS_AT_ONCE = 4
 _BYTES_AT_ONCE = 2 << 20
 
 
@@ -50,7 +52,10 @@ class TestSuffixes:
         self.item = np.repeat(np.array([i for i, _ in items], np.int64), [len(ws) + 1 for ws in lists]) if items else np.zeros(0, np.int64)
         starts = np.cumsum([0, *(len(ws) + 1 for ws in lists)])[:-1]
         self.first = np.repeat(starts, [len(ws) + 1 for ws in lists]) if items else np.zeros(0, np.int64)
-        self.places = full_windows(self.ids, words)
+        places = full_windows(self.ids, words)
+        keys = _sortable(_big_endian(self.ids, places, words))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.places = keys[order], places[order]
 
     def suffix_array(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(sorted keys, places) of the suffixes of a shard that can match at all. 0 ends a text or stands for a
@@ -63,11 +68,10 @@ class TestSuffixes:
     def matches(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in the shard, place in the test words, length) of every longest common run of ``words`` or more."""
         keys, places = self.suffix_array(ids)
-        asked = _sortable(_big_endian(self.ids, self.places, self.words))
-        low, high = np.searchsorted(keys, asked, "left"), np.searchsorted(keys, asked, "right")
-        hits = high - low
-        test = np.repeat(self.places, hits)
-        shard = places[np.repeat(low, hits) + np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits)]
+        if len(keys) < len(self.keys):
+            shard, test = _joined(places, keys, self.keys, self.places)
+        else:
+            test, shard = _joined(self.places, self.keys, keys, places)
         before = (shard > 0) & (test > 0)
         before &= (ids[shard - before] == self.ids[test - before]) & (ids[shard - before] > 0) & before
         shard, test = shard[~before], test[~before]  # a hit that continues one before it belongs to that one
@@ -83,6 +87,13 @@ class TestSuffixes:
         return shard, test, length
 
 
+def _joined(places: np.ndarray, keys: np.ndarray, among: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, place there) of equal keys; ``among`` is sorted and ``at`` are its places."""
+    low, high = np.searchsorted(among, keys, "left"), np.searchsorted(among, keys, "right")
+    hits = high - low
+    return np.repeat(places, hits), at[np.repeat(low, hits) + np.arange(hits.sum()) - np.repeat(np.cumsum(hits) - hits, hits)]
+
+
 def full_windows(ids: np.ndarray, words: int) -> np.ndarray:
     """Places from which ``words`` ids other than 0 follow."""
     if len(ids) < words:
@@ -101,35 +112,51 @@ def leaked_passages(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id"
 
     Words are the maximal runs of letters and digits after NFKC and lower-casing. Items of fewer words, null
     or empty texts and null ids take no part; repeated rows give repeated matches. Test items are handled in
-    blocks of bounded size, each against all documents. Other columns are not read.
+    blocks of bounded size, several in one pass over the documents, whose words are told apart once. Other columns
+    are not read.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("doc_id is not null and text is not null")
-    test = items.select(F.col(f"`{item_id}`").cast("bigint").alias("item_id"), F.col(f"`{item_text}`").alias("text")).filter("item_id is not null and text is not null").distinct()
+    rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("id is not null and text is not null")
+    test = items.select(F.col(f"`{item_id}`").cast("bigint").alias("id"), F.col(f"`{item_text}`").alias("text")).filter("id is not null and text is not null").distinct()
     schema = T.StructType.fromDDL("doc_id bigint, item_id bigint, item_word int, doc_word int, length int")
+    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(test, words)]
+    if not blocks:
+        return spark.createDataFrame([], schema)
+    passes = [blocks[n : n + _BLOCKS_AT_ONCE] for n in range(0, len(blocks), _BLOCKS_AT_ONCE)]
+    if len(passes) == 1:
+        return rows.mapInArrow(lambda batches: _found(_worded(batches), passes[0], schema.names), schema)
+    worded = stored(rows.mapInArrow(_worded, _WORDED))
     found = None
-    for block in _blocks(test, words):
-        shared = spark.sparkContext.broadcast(TestSuffixes(block, words))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            suffixes = shared.value
-            for batch in batches:
-                for first, last in _ranges(batch["text"]):
-                    lists = word_lists(batch["text"].slice(first, last - first))
-                    flat = pc.index_in(lists.flatten(), value_set=suffixes.vocabulary)
-                    ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
-                    known = pc.add(pc.fill_null(flat, -1), 1).to_numpy().astype(np.uint32)
-                    ids = np.insert(known, ends, 0)  # a 0 after each text
-                    begins = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])[:-1]
-                    at, test_at, length = suffixes.matches(ids)
-                    row = np.searchsorted(begins, at, side="right") - 1
-                    doc = batch["doc_id"].to_numpy()[first:last][row]
-                    columns = (doc, suffixes.item[test_at], test_at - suffixes.first[test_at], at - begins[row], length)
-                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64 if n < 2 else np.int32)) for n, c in enumerate(columns)], names=schema.names)
-
-        part = rows.mapInArrow(search, schema)
+    for some in passes:
+        part = worded.mapInArrow(lambda batches, some=some: _found(batches, some, schema.names), schema)
         found = part if found is None else found.unionByName(part)
-    return spark.createDataFrame([], schema) if found is None else found
+    return found
+
+
+_WORDED = "id bigint, words array<string>"
+
+
+def _worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, words) from (id, text)."""
+    for batch in batches:
+        for first, last in _ranges(batch["text"]):
+            yield pa.RecordBatch.from_arrays([batch["id"].slice(first, last - first), word_lists(batch["text"].slice(first, last - first))], names=["id", "words"])
+
+
+def _found(batches: Iterator[pa.RecordBatch], blocks: list, names: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch["words"]
+        flat = lists.flatten()
+        ends = lists.offsets.to_numpy()[1:].astype(np.int64) - lists.offsets[0].as_py()
+        begins = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])[:-1]
+        for block in blocks:
+            suffixes = block.value
+            known = pc.add(pc.fill_null(pc.index_in(flat, value_set=suffixes.vocabulary), -1), 1).to_numpy().astype(np.uint32)
+            ids = np.insert(known, ends, 0)  # a 0 after each text
+            at, test_at, length = suffixes.matches(ids)
+            row = np.searchsorted(begins, at, side="right") - 1
+            columns = (batch["id"].to_numpy()[row], suffixes.item[test_at], test_at - suffixes.first[test_at], at - begins[row], length)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64 if n < 2 else np.int32)) for n, c in enumerate(columns)], names=names)
 
 
 def _ranges(values: pa.Array) -> Iterator[tuple[int, int]]:
@@ -142,21 +169,18 @@ def _ranges(values: pa.Array) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def _blocks(test: DataFrame, words: int) -> Iterator[list[tuple[int, list[str]]]]:
-    """The items of enough words, in blocks of about ``_BLOCK_WORDS``. Only one block is held at a time."""
+def _blocks(test: DataFrame, words: int) -> Iterator[TestSuffixes]:
+    """The items of enough words, in blocks of about ``_BLOCK_WORDS``; the words are told apart on the executors."""
     block: list[tuple[int, list[str]]] = []
     held = 0
-    for row in stored(test).toLocalIterator():
-        told = word_lists(pa.array([row["text"]], pa.string()))[0].as_py()
-        if len(told) < words:
-            continue
-        block.append((row["item_id"], told))
-        held += len(told)
+    for row in stored(test.mapInArrow(_worded, _WORDED).filter(F.size("words") >= words)).toLocalIterator():
+        block.append((row["id"], row["words"]))
+        held += len(row["words"])
         if held >= _BLOCK_WORDS:
-            yield block
+            yield TestSuffixes(block, words)
             block, held = [], 0
     if block:
-        yield block
+        yield TestSuffixes(block, words)
 
 
 def leaked_documents(passages: DataFrame) -> DataFrame:

@@ -91,7 +91,8 @@ def mix_sources(
 
     ``draws`` (id, source, n_tokens, copy, block, shard, shuffle_key): one row per use of a document; a shard
     in the order of ``shuffle_key`` is shuffled. ``report`` (source, n_docs, tokens, target_share,
-    max_repeats, wanted_tokens, most_tokens, reachable, drawn_tokens, actual_share): one row per target.
+    max_repeats, wanted_tokens, most_tokens, reachable, drawn_tokens, reached, actual_share): one row per target;
+    ``reachable`` is told from the sizes, ``reached`` from what the shards drew, and both agree.
 
     Documents of null or unlisted sources are not drawn; null and empty texts have no tokens and are drawn with
     their block. Null ids are kept as they are; repeated rows are drawn each. Of targets, rows of null source
@@ -139,9 +140,10 @@ def mix_sources(
 
     draws = used.withColumn("shard", shard_of("source", "unit")).drop("unit")
     draws = draws.withColumn("shuffle_key", F.xxhash64(F.lit(seed + 1), "source", F.col("id").cast("string"), "copy"))
-    drawn = used.groupBy("source").agg(F.sum("n_tokens").alias("drawn_tokens"))
+    drawn = stored(draws.groupBy("source").agg(F.sum("n_tokens").alias("drawn_tokens")))  # one row per target
     report = plan.join(F.broadcast(drawn), "source", "left").fillna(0, ["drawn_tokens"]).drop("blocks")
-    every = F.lit(used.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0])
+    report = report.withColumn("reached", F.col("drawn_tokens") >= F.col("wanted_tokens"))
+    every = F.lit(drawn.agg(F.coalesce(F.sum("drawn_tokens"), F.lit(0))).first()[0])
     return Mixture(draws, report.withColumn("actual_share", F.when(every > 0, F.col("drawn_tokens") / every).otherwise(0.0)))
 
 

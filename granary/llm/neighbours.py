@@ -34,7 +34,7 @@ _CROWD = 32
 _CROWD_WITHIN = 0.15
 #: Crowded rows that are sent to every executor at once (64 floats each: about 8 MB); more go in blocks.
 _CROWD_BLOCK = 32_768
-#: Rows of one leaf that one task compares; beyond it the leaf's rows are dealt to several tasks.
+#: Rows of one leaf, and rows that look into it, that one task compares; more are dealt to several tasks.
 _LEAF_TASK_ROWS = 65_536
 
 
@@ -227,7 +227,6 @@ def similar_vectors(
     if not len(sample):
         sample = _matrix(raw.select("v").limit(sample_rows).toArrow()["v"], dim)
     forest = fit_forest(_units(sample), trees, leaf_rows * len(sample) / total, seed)
-    deal = max(1, -(-total // max(1, forest.leaves // trees)) // _LEAF_TASK_ROWS)
     shared = spark.sparkContext.broadcast(forest)
     dense = (0.90 if floor is None else floor) - _CROWD_WITHIN
 
@@ -237,7 +236,22 @@ def similar_vectors(
     ids = ids.withColumn("asks", F.lit(True)) if queries is None else _asking(ids, id_col, queries)
     ids = stored(ids)
     used = ids.groupBy("h1", "h2").agg(F.max("asks").alias("asks"), F.count("*").alias("n"))
-    classes = raw.groupBy("h1", "h2").agg(F.first("v").alias("v")).join(used, ["h1", "h2"])
+    classes = stored(raw.groupBy("h1", "h2").agg(F.first("v").alias("v")).join(used, ["h1", "h2"]))
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asks = batch["asks"].to_numpy(zero_copy_only=False).astype(bool)
+            leaf, home = _routes(shared.value, _units(_matrix(batch["v"], dim)), asks, probes) if batch.num_rows else (np.zeros((0, 1), np.int64),) * 2
+            own, asked = (np.bincount(leaf[f & (leaf > 0)], minlength=shared.value.leaves + 1) for f in (home.astype(bool), np.broadcast_to(asks[:, None], leaf.shape)))
+            seen = np.flatnonzero(own + asked)
+            yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(own[seen]), pa.array(asked[seen])], names=["leaf", "own", "asked"])
+
+    # How many tasks share each leaf's rows and those that look into it: one number a leaf, as many leaves as the sample makes.
+    dealt = np.ones((2, forest.leaves + 1), np.int64)
+    counted = classes.mapInArrow(visits, "leaf int, own bigint, asked bigint").groupBy("leaf").agg(F.sum("own").alias("own"), F.sum("asked").alias("asked"))
+    for r in counted.filter((F.col("own") > _LEAF_TASK_ROWS) | (F.col("asked") > _LEAF_TASK_ROWS)).collect():
+        dealt[:, r["leaf"]] = max(1, -(-r["own"] // _LEAF_TASK_ROWS)), max(1, -(-r["asked"] // _LEAF_TASK_ROWS))
+    most = dealt.max(1)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,15 +265,16 @@ def similar_vectors(
             row, slot = np.nonzero((leaf > 0) & (home | asks[:, None]))
             own = home[row, slot]
             h1, h2 = (batch[c].to_numpy() for c in ("h1", "h2"))
-            for part in range(deal):
-                mine = own & (h1[row] % deal == part)
-                asking = asks[row]
-                take = mine | asking
-                r = row[take]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaf[row, slot][take] * deal + part, pa.int32()), pa.array((mine[take] + 2 * asking[take]).astype(np.int8)), pa.array(h1[r]), pa.array(h2[r]), _bytes_of(codes[r])],
-                    names=["leaf", "role", "h1", "h2", "code"],
-                )
+            parts, lots = dealt[:, leaf[row, slot]]
+            part, lot = (h[row] % n for h, n in ((h1, parts), (h2, lots)))
+            for p in range(most[0]):
+                for q in range(most[1]):
+                    mine, asking = own & (part == p) & (q < lots), asks[row] & (lot == q) & (p < parts)
+                    take = mine | asking
+                    r = row[take]
+                    cell = (leaf[row, slot][take].astype(np.int64) * most[0] + p) * most[1] + q
+                    role = (mine[take] + 2 * asking[take]).astype(np.int8)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(role), pa.array(h1[r]), pa.array(h2[r]), _bytes_of(codes[r])], names=["leaf", "role", "h1", "h2", "code"])
 
     def meet(table: pa.Table) -> pa.Table:
         sent = np.frombuffer(b"".join(table["code"].to_pylist()), np.int8).reshape(-1, dim + 2)
@@ -304,7 +319,7 @@ def similar_vectors(
         s, e = (np.concatenate([x[kept], np.ones(len(lost), np.float32)]) for x in (s, e))
         return pa.table({"q1": h1[q], "q2": h2[q], "m1": h1[m], "m2": h2[m], "near": pa.array(s, pa.float32()), "error": pa.array(e, pa.float32())})
 
-    filed = classes.mapInArrow(route, "leaf int, role tinyint, h1 bigint, h2 bigint, code binary")
+    filed = classes.mapInArrow(route, "leaf bigint, role tinyint, h1 bigint, h2 bigint, code binary")
     met = filed.groupBy("leaf").applyInArrow(meet, "q1 bigint, q2 bigint, m1 bigint, m2 bigint, near float, error float")
     met = met.groupBy("q1", "q2", "m1", "m2").agg(F.max("near").alias("near"), F.max("error").alias("error"))
     # Of all leaves those stay that may be nearer than the k-th is for certain.

@@ -59,23 +59,22 @@ def gaps(text: str) -> tuple[list[tuple[int, int]], np.ndarray]:
     return spans, strengths
 
 
-def pieces(text: str, limit: int = 280, overlap: int = 60) -> Iterator[tuple[int, int, int, str]]:
-    """(start, end, words of overlap, kind of the cut at the end) of each piece, as places in the text.
+def cuts(strengths: np.ndarray, limit: int = 280, overlap: int = 60) -> Iterator[tuple[int, int, int, str]]:
+    """(first word, word after the last, words of overlap, kind of the cut at the end) of each piece.
 
     The second half of the permissible window is asked first, then all of it, then a window that gives up as
     much of the overlap as is needed; only if no boundary lies within ``limit`` words is a cut forced.
     """
-    spans, strengths = gaps(text)
-    total = len(spans)
+    total = len(strengths)
     if total <= limit:
-        yield 0, len(text), 0, "end"
+        yield 0, total, 0, "end"
         return
     index = StrongestGap(strengths)
     done, back = 0, 0
     while True:
         most = min(done - back + limit, total)
         if most == total:
-            yield (0 if done == 0 else spans[done - back][0]), len(text), back, "end"
+            yield done - back, total, back, "end"
             return
         cut, kind = most, "forced"
         for first, last in ((done - back + limit // 2 + 1, most), (done + 1, most), (done + 1, min(done + limit, total - 1))):
@@ -86,12 +85,20 @@ def pieces(text: str, limit: int = 280, overlap: int = 60) -> Iterator[tuple[int
         if kind == "forced" and total - done <= limit:  # the end of the text is the next boundary
             cut, kind = total, "end"
         back = min(back, limit - (cut - done))
-        yield (0 if done == 0 else spans[done - back][0]), len(text) if cut == total else spans[cut - 1][1], back, kind
+        yield done - back, cut, back, kind
         if cut == total:
             return
         done, back = cut, min(overlap, cut)
 
 
+def pieces(text: str, limit: int = 280, overlap: int = 60) -> Iterator[tuple[int, int, int, str]]:
+    """(start, end, words of overlap, kind of the cut at the end) of each piece, as places in the text: the first piece
+    begins with the text, the last ends with it."""
+    spans, strengths = gaps(text)
+    for first, last, back, kind in cuts(strengths, limit, overlap):
+        yield spans[first][0] if first else 0, spans[last - 1][1] if last < len(spans) else len(text), back, kind
+
+
 def has_long_stretch(strengths: np.ndarray, limit: int) -> bool:
     """Whether more than ``limit`` words lie between neighbouring boundaries or the ends."""
     at = np.append(np.flatnonzero(strengths > PLAIN), len(strengths))
@@ -103,8 +110,8 @@ def split_oversized(docs: DataFrame, text_col: str = "text", *, limit: int = 280
 
     All columns stay; ``piece_no`` (from 0), ``piece_text``, ``piece_words``, ``overlap_words``, ``cut_kind``
     of the piece's end (``natural``, ``forced``, ``end``) and ``text_cut_kind`` of the whole text (``forced``
-    if it has a stretch of more than ``limit`` words without boundary, else ``natural``; null if it was not
-    split) are added and replace columns of these names. A piece begins with up to ``overlap`` of the
+    if one of its pieces ends in a forced cut, which is so if it has a stretch of more than ``limit`` words without
+    boundary, else ``natural``; null if it was not split) are added and replace columns of these names. A piece begins with up to ``overlap`` of the
     preceding piece's last words. Null texts give one piece with a null text and 0 words; empty ones one
     empty piece. Repeated rows are split each. Natural boundaries are ``\\n`` and white space that follows
     ``.``, ``!`` or ``?`` and precedes ``A``-``Z`` or ``(``.
@@ -129,11 +136,13 @@ def split_oversized(docs: DataFrame, text_col: str = "text", *, limit: int = 280
             made: list[dict] = []
             for row, value in enumerate(batch[text_col].to_pylist()):
                 spans, strengths = gaps(value)
-                kind = None if len(spans) <= limit else "forced" if has_long_stretch(strengths, limit) else "natural"
-                for number, (start, end, back, how) in enumerate(pieces(value, limit, overlap)):
-                    part = value[start:end]
+                found = list(cuts(strengths, limit, overlap))
+                # A cut is forced just where a stretch between boundaries is longer than the limit.
+                kind = None if len(spans) <= limit else "forced" if any(how == "forced" for *_, how in found) else "natural"
+                for number, (first, last, back, how) in enumerate(found):
+                    part = value[spans[first][0] if first else 0 : spans[last - 1][1] if last < len(spans) else len(value)]
                     rows.append(row)
-                    made.append({"piece_no": number, "piece_text": part, "piece_words": len(_WORD.findall(part)), "overlap_words": back, "cut_kind": how, "text_cut_kind": kind})
+                    made.append({"piece_no": number, "piece_text": part, "piece_words": last - first, "overlap_words": back, "cut_kind": how, "text_cut_kind": kind})
             out = batch.take(pa.array(rows, pa.int32()))
             for field in piece:
                 kind_of = pa.int32() if field.dataType == T.IntegerType() else pa.string()
@@ -144,4 +153,4 @@ def split_oversized(docs: DataFrame, text_col: str = "text", *, limit: int = 280
     return split.unionByName(whole)
 
 
-__all__ = ["StrongestGap", "gaps", "has_long_stretch", "pieces", "split_oversized", "WHITE"]
+__all__ = ["StrongestGap", "cuts", "gaps", "has_long_stretch", "pieces", "split_oversized", "WHITE"]

@@ -6,6 +6,7 @@ from collections import defaultdict
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from granary.llm import boilerplate
 from granary.llm.boilerplate import frequent_lines, without_frequent_lines
 
 SCHEMA = "chunk_id string, source_document string, text string"
@@ -48,6 +49,18 @@ def test_cleaning_keeps_rows_and_columns(spark):
     assert out["o"]["clean_text"] == "note" and out["all"]["clean_text"] == "" and out["e"]["clean_text"] == ""
 
 
+def test_an_id_with_two_texts_loses_only_lines_that_are_cases(spark):
+    rows = [(f"d{i}", "s", f"notice here\nbody {chr(97 + i)}") for i in range(5)] + [("d0", "s", "kept first\nbody z")]
+    out = {(r["chunk_id"], r["text"]): (r["clean_text"], r["lines_removed"]) for r in without_frequent_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out["d0", "kept first\nbody z"] == ("kept first\nbody z", 0) and out["d0", "notice here\nbody a"] == ("body a", 1)
+
+
+def test_many_frequent_lines_are_joined_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(boilerplate, "_LINES_TO_SEND", 0)
+    rows = [(f"c{i}", "s", f"x 1\nown {chr(97 + i)}") for i in range(6)]
+    assert {(r["id"], r["line_no"]) for r in frequent_lines(spark.createDataFrame(rows, SCHEMA)).collect()} == {(f"c{i}", 0) for i in range(6)}
+
+
 def test_empty_table_and_long_text(spark):
     assert frequent_lines(spark.createDataFrame([], SCHEMA)).count() == 0
     long = "\n".join(f"line {'y' * (i % 50)} {i}" for i in range(20_000))

@@ -50,6 +50,8 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     whole = {tuple(r) for r in leaked_passages(d, i, words=5).collect()}
     monkeypatch.setattr(leakage, "_BLOCK_WORDS", 60)
     assert {tuple(r) for r in leaked_passages(d, i, words=5).collect()} == whole
+    monkeypatch.setattr(leakage, "_BLOCKS_AT_ONCE", 2)  # several passes over words that are told apart once
+    assert {tuple(r) for r in leaked_passages(d, i, words=5).collect()} == whole
 
 
 def test_longest_matches_and_places(spark):

@@ -22,6 +22,7 @@ def test_shares_repeats_and_report(spark):
     whole = sum(r["tokens"] for r in report.values())
     assert set(report) == {"big", "small", "mid", "absent"}
     assert {s for s, r in report.items() if not r["reachable"]} == {"small", "absent"}
+    assert all(r["reached"] == r["reachable"] for r in report.values())
     assert report["small"]["drawn_tokens"] == 600 and report["absent"]["drawn_tokens"] == 0
     for s in ("big", "mid"):
         assert 0 <= report[s]["drawn_tokens"] - report[s]["target_share"] * whole < 12

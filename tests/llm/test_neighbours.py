@@ -105,6 +105,24 @@ def test_crowded_rows_go_in_blocks(spark, monkeypatch):
     assert recall(similar_vectors(frame, dim=16, k=5, floor=0.5, leaf_rows=64).collect(), x, 5) == 1.0
 
 
+@pytest.mark.parametrize("noise", [1e-2, 1e-3, 1e-4])
+def test_a_third_of_near_copies_keeps_its_nearest(spark, noise):
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.standard_normal(64) + noise * rng.standard_normal((1500, 64)), rng.standard_normal((3000, 64))]).astype(np.float32)
+    frame = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(x)], SCHEMA)
+    found = [r for r in similar_vectors(frame, dim=64, k=5, floor=0.9).collect() if int(r["id"]) < 1500]
+    assert recall(found, x[:1500], 5) >= 0.99
+
+
+def test_large_leaves_are_dealt_on_both_sides(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((600, 16)).astype(np.float32)
+    frame = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(x)], SCHEMA)
+    whole = sorted(map(tuple, similar_vectors(frame, dim=16, k=3, leaf_rows=200, probes=6).collect()))
+    monkeypatch.setattr("granary.llm.neighbours._LEAF_TASK_ROWS", 60)
+    assert sorted(map(tuple, similar_vectors(frame, dim=16, k=3, leaf_rows=200, probes=6).collect())) == whole
+
+
 def test_copies_ties_and_unusable_rows(spark):
     e = np.eye(4, dtype=np.float32).tolist()
     rows = [(f"copy{i}", e[0]) for i in range(9)] + [("copy0", e[0])] * 3

@@ -5,7 +5,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from granary.llm.spans import anchors, gram_hashes, shared_share, shared_spans, sharing_pairs, text_membership
+from granary.llm.spans import anchors, components, gram_hashes, shared_share, shared_spans, sharing_pairs
 
 import numpy as np
 
@@ -46,7 +46,7 @@ def made(seed, n=40, length=30):
 
 def check(spark, rows, length, gram, hot):
     frame = spark.createDataFrame(rows, SCHEMA)
-    got = sharing_pairs(shared_spans(frame, length=length, gram=gram, hot=hot), text_membership(frame, length=length))
+    got = sharing_pairs(frame, length=length, gram=gram, hot=hot)
     pairs = [(r["id_a"], r["id_b"]) for r in got.collect()]
     assert len(pairs) == len(set(pairs)) and set(pairs) == brute_pairs(rows, length)
 
@@ -66,12 +66,75 @@ def test_share_equals_brute_force(spark):
         assert got == {(i, len(t)): n for (i, t), n in brute_share(rows, 30).items()}
 
 
+def brute_runs(rows, length):
+    """Per pair of texts the longest common runs, by their diagonals."""
+    texts = sorted({t for i, t in rows if i is not None and t is not None and len(t) >= length})
+    out = set()
+    for x in texts:
+        for y in texts:
+            if x < y:
+                for shift in range(-len(y), len(x)):
+                    n = 0
+                    for k in range(max(0, -shift), min(len(y), len(x) - shift) + 1):
+                        if k < len(y) and k + shift < len(x) and x[k + shift] == y[k]:
+                            n += 1
+                        else:
+                            if n >= length:
+                                out.add(frozenset([(x, k + shift - n, n), (y, k - n, n)]))
+                            n = 0
+    return out
+
+
+def test_spans_are_the_longest_runs_whatever_counts_as_hot(spark):
+    rows = made(5, n=25)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    keys = {r[0]: r[1] for r in frame.filter("text is not null").selectExpr("xxhash64(0, text)", "text").collect()}
+    for hot in (8192, 3):
+        got = [frozenset([(keys[r["text_a"]], r["start_a"], r["span"]), (keys[r["text_b"]], r["start_b"], r["span"])]) for r in shared_spans(frame, length=30, gram=15, hot=hot).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute_runs(rows, 30)
+
+
+def noticed(n, seed=6):
+    rng = random.Random(seed)
+    notice = "".join(rng.choices("abcdefgh ", k=600))
+    return [(f"c{k:04d}", "".join(rng.choices("ijklmnop ", k=rng.randint(50, 300))) + notice + "".join(rng.choices("qrstuvw ", k=100))) for k in range(n)]
+
+
+def test_a_notice_in_many_texts_gives_one_run_for_each_pair(spark):
+    for n, hot in ((70, 8192), (70, 8)):
+        frame = spark.createDataFrame(noticed(n), SCHEMA)
+        spans = shared_spans(frame, hot=hot).collect()
+        assert len(spans) == n * (n - 1) // 2 and all(600 <= r["span"] < 610 for r in spans)
+        told = shared_share(frame, hot=hot).collect()
+        assert len(told) == n and all(600 <= r["shared_chars"] < 610 for r in told) and {r["class_id"] for r in told} == {"c0000"}
+    assert sharing_pairs(spark.createDataFrame(noticed(400), SCHEMA)).count() == 400 * 399 // 2
+
+
+def test_a_notice_one_character_too_short_gives_nothing(spark):
+    rows = [(f"c{k}", chr(65 + k % 50) * (k + 1) + "".join(random.Random(9).choices("abcdefgh ", k=239)) + chr(300 + k)) for k in range(40)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert sharing_pairs(frame).count() == 0 and sharing_pairs(frame, hot=4).count() == 0
+
+
+def test_copies_of_one_text_under_many_ids_leave_its_runs_whole(spark):
+    long = "".join(random.Random(7).choices("abcdefgh ", k=600))
+    rows = [(f"a{k:02d}", long) for k in range(71)] + [("b", "x" * 50 + long), ("c", long + "y" * 50)]
+    spans = shared_spans(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(spans) == 3 and all(r["span"] == 600 for r in spans)
+
+
+def test_components_of_a_long_chain(spark):
+    edges = [(k, k + 1) for k in range(0, 40)] + [(100, 102), (102, 101)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {k: 0 for k in range(41)} | {k: 100 for k in (100, 101, 102)}
+
+
 def test_empty_table_and_clashing_columns(spark):
     empty = spark.createDataFrame([], SCHEMA)
-    assert sharing_pairs(shared_spans(empty), text_membership(empty)).count() == 0
+    assert sharing_pairs(empty).count() == 0
     rows = [("a", "q" * 10 + "z" * 300, 1, 2), ("b", "z" * 300, 3, 4)]
     frame = spark.createDataFrame(rows, "chunk_id string, text string, text_key int, id int")
-    assert [tuple(r) for r in sharing_pairs(shared_spans(frame), text_membership(frame)).collect()] == [("a", "b")]
+    assert [tuple(r) for r in sharing_pairs(frame).collect()] == [("a", "b")]
 
 
 def test_very_long_text(spark):
@@ -79,7 +142,7 @@ def test_very_long_text(spark):
     long = "".join(rng.choices("abcdefgh", k=5_000_000))
     rows = [("long", long), ("part", "x" * 100 + long[4_400_000:4_400_240] + "y" * 100), ("less", "x" * 100 + long[100:339] + "y" * 100)]
     frame = spark.createDataFrame(rows, SCHEMA)
-    got = sharing_pairs(shared_spans(frame), text_membership(frame)).collect()
+    got = sharing_pairs(frame).collect()
     assert [tuple(r) for r in got] == [("long", "part")]
 
 
