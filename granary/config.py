@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields, replace
 
 # The canonical classes.
 CANONICAL_CLASSES = ("Bacterial_Leaf_Blight", "Brown_Spot", "Leaf_Blast", "Narrow_Brown", "Rice_Tungro", "Sheath_Blight")
@@ -40,9 +41,9 @@ COVERAGE_INOCULATION = r"inoculat|spore suspension|inoculum|clipping method|gree
 # Patterns that type a chunk.
 MANAGEMENT_HEADING = r"\bmanagement\b|\bcontrol\b|cultural practice|fungicid|chemical|resistant variet|varietal resistance|seed treatment|\btreatment\b"
 ACTIONABLE = (
-    r"\b(?:fungicid\w*|apply|application rate|spray|seed treatment|fl oz|kg/ha|g/ha|l/ha|recommended|"
-    r"resistant cultivars?|resistant variet\w+|susceptible cultivars?|"
-    r"avoid|maintain|plant early|rotat\w+|sanitation|destroy|remove|drain|flood depth|fertility program)\b"
+    r"\bfungicid\w*\b|\bapply\b|\bapplication rate\b|\bspray\b|\bseed treatment\b|\bfl oz\b|\bkg/ha\b|\bg/ha\b|\bl/ha\b|\brecommended\b|"
+    r"\bresistant cultivars?\b|\bresistant variet\w+\b|\bsusceptible cultivars?\b|\bavoid\b|\bmaintain\b|\bplant early\b|\brotat\w+\b|\bsanitation\b|"
+    r"\bdestroy\b|\bremove\b|\bdrain\b|\bflood depth\b|\bfertility program\b"
 )
 MANAGEMENT_MARKER = r"\bManagement\b\s*[•\-]|\bControl measures?\b|\bDisease management\b"
 INOCULATION = r"inoculat|spore suspension|inoculum|clipping method|scissor.?dip|spray.{0,20}suspension|conidial suspension"
@@ -117,3 +118,20 @@ class Settings:
     layout: LayoutLimits = field(default_factory=LayoutLimits)
     chunks: ChunkLimits = field(default_factory=ChunkLimits)
     retrieval: RetrievalLimits = field(default_factory=RetrievalLimits)
+
+
+def settings_from(conf: Mapping[str, str], prefix: str = "granary.") -> Settings:
+    """Settings with the values that ``conf`` (environment, or what ``spark.conf.getAll`` gives) has under names such as
+    ``granary.retrieval.default_k``; lists are split at commas. An unknown name or a value of another type is an error."""
+    out = Settings()
+    for name, value in conf.items():
+        if not name.startswith(prefix):
+            continue
+        group, _, key = name.removeprefix(prefix).partition(".")
+        if group not in {f.name for f in fields(out)} or key not in {f.name for f in fields(getattr(out, group))}:
+            raise ValueError(f"unknown setting {name}")
+        held = getattr(out, group)
+        kind = type(getattr(held, key))
+        told = tuple(part.strip() for part in value.split(",") if part.strip()) if kind is tuple else kind(value)
+        out = replace(out, **{group: replace(held, **{key: told})})
+    return out

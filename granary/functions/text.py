@@ -158,14 +158,15 @@ def contains_in_order(value: Column, source: Column, slack: int = 120) -> Column
     return F.contains(source, value) | ordered
 
 
-def shingle_hashes(text: Column, k: int) -> Column:
-    """Distinct hashes of each ``k`` neighbouring words of a-z; empty for fewer words."""
-    letters = F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: w != "")
+def shingle_hashes(text: Column, k: int, *, between: str = "[^a-z]+", short: bool = False) -> Column:
+    """Distinct hashes of each ``k`` neighbouring words, which are what a pattern leaves of the lower-case text. Fewer words
+    give none, or with ``short`` one hash of all there are."""
+    letters = F.filter(F.split(F.lower(text), between), lambda w: w != "")
 
     def grams(w: Column) -> Column:
         last = F.size(w) - k + 1
         hashed = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, k)))
-        return F.when(last >= 1, F.array_distinct(hashed)).otherwise(F.array().cast("array<bigint>"))
+        return F.when((last >= 1) | (F.lit(short) & (F.size(w) > 0)), F.array_distinct(hashed)).otherwise(F.array().cast("array<bigint>"))
 
     return once(letters, grams)
 

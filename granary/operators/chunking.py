@@ -46,15 +46,13 @@ def packed(text: Column, limits: ChunkLimits = ChunkLimits()) -> Column:
         return F.array_join(F.transform(now, lambda s: s["s"]), " ")
 
     def step(state: Column, s: Column) -> Column:
-        return once(tail_of(state["now"]), lambda back: advance(state, s, back))
-
-    def advance(state: Column, s: Column, back: Column) -> Column:
         full = (F.size(state["now"]) > 0) & (state["n"] + s["n"] > target)
-        return F.struct(
-            F.when(full, F.concat(state["done"], F.array(joined(state["now"])))).otherwise(state["done"]).alias("done"),
-            F.when(full, F.concat(back["kept"], F.array(s))).otherwise(F.concat(state["now"], F.array(s))).alias("now"),
-            F.when(full, back["n"] + s["n"]).otherwise(state["n"] + s["n"]).alias("n"),
-        )
+        longer = F.struct(state["done"].alias("done"), F.array_append(state["now"], s).alias("now"), (state["n"] + s["n"]).alias("n"))
+        return F.when(full, once(tail_of(state["now"]), lambda back: opened(state, s, back))).otherwise(longer)
+
+    def opened(state: Column, s: Column, back: Column) -> Column:
+        done = F.array_append(state["done"], joined(state["now"]))
+        return F.struct(done.alias("done"), F.array_append(back["kept"], s).alias("now"), (back["n"] + s["n"]).alias("n"))
 
     def finish(state: Column) -> Column:
         tail, done = joined(state["now"]), state["done"]
@@ -116,10 +114,10 @@ def chunk_type(section: Column, text: Column, inoculation: Column, limits: Chunk
 
 def narrative_chunks(sections: DataFrame, documents: DataFrame, limits: ChunkLimits = ChunkLimits()) -> DataFrame:
     """``schemas.CHUNKS`` of sections. ``documents`` gives each filename document_title, organization, source_url,
-    document_type and ocr_derived. Sections of one short part vanish; a chunk without class of its own has that
-    of its heading and section."""
+    document_type and ocr_derived; sections of files that it lacks keep their chunks, with nulls there. Sections of one
+    short part vanish; a chunk without class of its own has that of its heading and section."""
     whole = F.concat_ws(" ", F.coalesce("heading", F.lit("")), "text")
-    rows = sections.join(F.broadcast(documents), "filename").withColumn("parent", dominant_class(whole, share=limits.parent_share, least=limits.parent_hits))
+    rows = sections.join(documents, "filename", "left").withColumn("parent", dominant_class(whole, share=limits.parent_share, least=limits.parent_hits))
     rows = rows.withColumn("parts", packed(F.col("text"), limits)).withColumn("chunk_total", F.size("parts"))
     rows = rows.select(*(c for c in rows.columns if c not in ("text", "word_count")), F.posexplode("parts").alias("chunk_index", "text"))
     rows = rows.withColumn("word_count", word_count(F.col("text"))).filter((F.col("word_count") >= limits.least_words) | (F.col("chunk_total") > 1))
@@ -139,7 +137,7 @@ def narrative_chunks(sections: DataFrame, documents: DataFrame, limits: ChunkLim
 
 def caption_chunks(captions: DataFrame, documents: DataFrame, limits: ChunkLimits = ChunkLimits()) -> DataFrame:
     """``schemas.CHUNKS`` of captions of figures."""
-    rows = captions.join(F.broadcast(documents), "filename").withColumn("label", dominant_class(F.col("text"), share=limits.parent_share, least=limits.parent_hits))
+    rows = captions.join(documents, "filename", "left").withColumn("label", dominant_class(F.col("text"), share=limits.parent_share, least=limits.parent_hits))
     text_null = F.lit(None).cast("string")
     return rows.select(
         F.concat_ws(":", slug(F.col("filename")), F.lit("fig"), F.col("caption_index").cast("string")).alias("chunk_id"), "text", F.col("filename").alias("source_document"), "document_title",

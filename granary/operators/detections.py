@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,18 +28,47 @@ def above_threshold(scored: DataFrame, thresholds: tuple[float, ...] = config.DE
     return scored.filter(F.col("score").cast("float") >= least)
 
 
+#: Boxes that one step suppresses at least, whole groups together.
+_BOXES_AT_ONCE = 8_192
+
+
 def suppressed(detections: DataFrame, keys: list[str], *, limit: float = 0.45, id_col: str = "anchor_id") -> DataFrame:
     """Greedy suppression in each group of ``keys`` (picture and class): from the best score down (ties by ``id_col``), a
     box stays if its overlap with every box kept before is below ``limit``. Other columns stay. Groups are as large as
-    one picture's boxes; rows with a null score or box vanish."""
-
-    def keep(table: pa.Table) -> pa.Table:
-        box = table["box"].combine_chunks()
-        x1, y1, x2, y2 = (box.field(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("x1", "y1", "x2", "y2"))
-        order = np.lexsort((table[id_col].to_numpy(), -table["score"].to_numpy().astype(np.float64)))
-        return table.take(pa.array(greedy(x1[order], y1[order], x2[order], y2[order], limit, order)))
-
-    return detections.filter("score is not null and box is not null").groupBy(*keys).applyInArrow(keep, detections.schema)
+    one picture's boxes and lie together in one partition, where batches of many groups are worked through in order;
+    rows with a null score or box vanish."""
+    held = detections.filter("score is not null and box is not null")
+    code = F.xxhash64(*(F.col(k).cast("string") for k in keys))
+    ordered = held.withColumn("__group", code).repartition("__group").sortWithinPartitions("__group", *keys, F.desc("score"), id_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
+            coded = np.stack([pc.dictionary_encode(table[k].combine_chunks(), null_encoding="encode").indices.to_numpy() for k in keys])
+            turns = np.flatnonzero(np.concatenate([[True], (coded[:, 1:] != coded[:, :-1]).any(0)]))
+            box = table["box"].combine_chunks()
+            corners = [box.field(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("x1", "y1", "x2", "y2")]
+            names = np.arange(table.num_rows)
+            kept = [greedy(*(c[at:to] for c in corners), limit, names[at:to]) for at, to in zip(turns, np.append(turns[1:], table.num_rows), strict=True)]
+            yield from table.drop_columns("__group").take(pa.array(np.concatenate(kept))).combine_chunks().to_batches()
+
+    return ordered.mapInArrow(keep, held.schema)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of about ``_BOXES_AT_ONCE`` rows, no ``__group`` in two of them."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        waiting.append(batch)
+        if sum(b.num_rows for b in waiting) < _BOXES_AT_ONCE:
+            continue
+        table = pa.Table.from_batches(waiting).combine_chunks()
+        group = table["__group"].to_numpy()
+        cut = int((group != group[-1]).sum())
+        if cut:
+            yield table.slice(0, cut)
+        waiting = table.slice(cut).to_batches()
+    if sum(b.num_rows for b in waiting):
+        yield pa.Table.from_batches(waiting).combine_chunks()
 
 
 def greedy(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, limit: float, names: np.ndarray) -> np.ndarray:
@@ -56,7 +86,7 @@ def greedy(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, limit
 
 def in_picture(detections: DataFrame, images: DataFrame) -> DataFrame:
     """Boxes of the square back in their pictures, ``box`` replaced."""
-    joined = detections.join(F.broadcast(images.select("image_index", "orig_w", "orig_h", "scale", "pad_x", "pad_y")), "image_index")
+    joined = detections.join(images.select("image_index", "orig_w", "orig_h", "scale", "pad_x", "pad_y"), "image_index")
     back = unletterbox(F.col("box"), F.col("scale"), F.col("pad_x"), F.col("pad_y"), F.col("orig_w"), F.col("orig_h"))
     return joined.withColumn("box", back).drop("scale", "pad_x", "pad_y")
 
@@ -87,10 +117,14 @@ def mask_area(counts: Column) -> Column:
 
 
 def mask_runs(masks: DataFrame) -> DataFrame:
-    """(image_index, class_name, det_id, start, stop): the set runs of each mask, as places down the columns."""
-    ends = F.expr("transform(counts, (c, i) -> aggregate(slice(counts, 1, i + 1), 0, (s, x) -> s + x))")
-    runs = masks.select("image_index", "class_name", "det_id", F.posexplode(F.arrays_zip("counts", ends.alias("stop"))).alias("i", "r"))
-    return runs.filter("i % 2 = 1 and r.counts > 0").select("image_index", "class_name", "det_id", (F.col("r.stop") - F.col("r.counts")).alias("start"), F.col("r.stop").alias("stop"))
+    """(image_index, class_name, det_id, start, stop): the set runs of each mask, as places down the columns. One fold over
+    the counts of a mask."""
+    none = "cast(array() as array<struct<start:int,stop:int>>)"
+    runs = F.expr(
+        f"aggregate(counts, named_struct('at', 0, 'odd', false, 'runs', {none}), "
+        "(s, c) -> named_struct('at', s.at + c, 'odd', not s.odd, 'runs', if(s.odd and c > 0, array_append(s.runs, named_struct('start', s.at, 'stop', s.at + c)), s.runs)), s -> s.runs)"
+    )
+    return masks.select("image_index", "class_name", "det_id", F.explode(runs).alias("r")).select("image_index", "class_name", "det_id", "r.start", "r.stop")
 
 
 def union_area(masks: DataFrame, keys: list[str]) -> DataFrame:
@@ -105,13 +139,30 @@ def union_area(masks: DataFrame, keys: list[str]) -> DataFrame:
     return runs.select(*keys, F.aggregate("runs", zero, cover, lambda s: s["covered"]).alias("pixels"))
 
 
-def mask_overlap(masks: DataFrame) -> DataFrame:
-    """(image_index, det_a < det_b, iou) of masks of one picture that share a pixel, by meeting of runs."""
-    runs = mask_runs(masks)
-    other = runs.select("image_index", F.col("det_id").alias("det_b"), F.col("start").alias("s2"), F.col("stop").alias("e2"))
-    met = runs.withColumnRenamed("det_id", "det_a").join(other, "image_index").filter("det_a < det_b and start < e2 and s2 < stop")
+def _apart(masks: DataFrame) -> DataFrame:
+    """(image_index, det_id, start, stop): runs of each detection that don't overlap, though several masks have its id."""
+    listed = mask_runs(masks).groupBy("image_index", "det_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("runs"))
+    zero = F.struct(F.lit(0).alias("reach"), F.array().cast("array<struct<start:int,stop:int>>").alias("runs"))
+
+    def fresh(state: Column, run: Column) -> Column:
+        rest = F.struct(F.greatest(run["start"], state["reach"]).alias("start"), run["stop"].alias("stop"))
+        more = F.when(run["stop"] > state["reach"], F.array_append(state["runs"], rest)).otherwise(state["runs"])
+        return F.struct(F.greatest(state["reach"], run["stop"]).alias("reach"), more.alias("runs"))
+
+    return listed.select("image_index", "det_id", F.explode(F.aggregate("runs", zero, fresh, lambda s: s["runs"])).alias("r")).select("image_index", "det_id", "r.start", "r.stop")
+
+
+def mask_overlap(masks: DataFrame, *, stretch: int = 4_096) -> DataFrame:
+    """(image_index, det_a < det_b, iou) of masks of one picture that share a pixel; masks of one det_id count as one. Runs
+    are cut at every ``stretch`` places and meet by picture and stretch, so that runs of far parts of a picture are not
+    compared."""
+    runs = _apart(masks)
+    areas = runs.groupBy("image_index", "det_id").agg(F.sum(F.col("stop") - F.col("start")).alias("area"))
+    runs = runs.withColumn("cell", F.explode(F.sequence(F.expr(f"start div {stretch}"), F.expr(f"(stop - 1) div {stretch}"))))
+    runs = runs.withColumns({"start": F.greatest("start", (F.col("cell") * stretch).cast("int")), "stop": F.least("stop", ((F.col("cell") + 1) * stretch).cast("int"))})
+    other = runs.select("image_index", "cell", F.col("det_id").alias("det_b"), F.col("start").alias("s2"), F.col("stop").alias("e2"))
+    met = runs.withColumnRenamed("det_id", "det_a").join(other, ["image_index", "cell"]).filter("det_a < det_b and start < e2 and s2 < stop")
     shared = met.groupBy("image_index", "det_a", "det_b").agg(F.sum(F.least("stop", "e2") - F.greatest("start", "s2")).alias("both"))
-    areas = masks.select("image_index", "det_id", mask_area(F.col("counts")).alias("area"))
     a, b = (areas.select("image_index", F.col("det_id").alias(f"det_{x}"), F.col("area").alias(f"area_{x}")) for x in "ab")
     joined = shared.join(a, ["image_index", "det_a"]).join(b, ["image_index", "det_b"])
     return joined.select("image_index", "det_a", "det_b", (F.col("both") / (F.col("area_a") + F.col("area_b") - F.col("both"))).alias("iou"))
@@ -120,25 +171,28 @@ def mask_overlap(masks: DataFrame) -> DataFrame:
 def build_masks(detections: DataFrame, prototypes: DataFrame, *, threshold: float = 0.5, square: int = 640) -> DataFrame:
     """Run-length masks of detections (coeffs, box in the picture, pad_x, pad_y, orig_w, orig_h, class_name) from their
     picture's prototypes (image_index, protos array<float>, n, side): products through a sigmoid, the letterbox's
-    border cut off, bilinear to the picture's size, thresholded, cut to the box."""
-    joined = detections.join(prototypes, "image_index").select("image_index", "det_id", "class_name", "coeffs", "protos", "n", "side", "pad_x", "pad_y", "orig_w", "orig_h", "box.x1", "box.y1", "box.x2", "box.y2")
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                field = np.asarray(r.coeffs, np.float32) @ np.asarray(r.protos, np.float32).reshape(r.n, -1)
-                grid = (1 / (1 + np.exp(-field))).reshape(r.side, r.side)
-                left, top = round(r.pad_x * r.side / square), round(r.pad_y * r.side / square)
-                grid = grid[top : max(r.side - top, top + 1), left : max(r.side - left, left + 1)]
+    border cut off, bilinear to the picture's size, thresholded, cut to the box. A picture's prototypes meet all its
+    detections at once. Detections without prototypes have no mask."""
+
+    def build(one: pd.DataFrame, protos: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for p in protos.head(1).itertuples(index=False):
+            basis = np.asarray(p.protos, np.float32).reshape(p.n, -1)
+            fields = np.stack(one["coeffs"].to_list()).astype(np.float32) @ basis if len(one) else np.zeros((0, p.side**2), np.float32)
+            for r, field in zip(one.itertuples(index=False), 1 / (1 + np.exp(-fields)), strict=True):
+                grid = field.reshape(p.side, p.side)
+                left, top = round(r.pad_x * p.side / square), round(r.pad_y * p.side / square)
+                grid = grid[top : max(p.side - top, top + 1), left : max(p.side - left, left + 1)]
                 mask = bilinear(grid, r.orig_h, r.orig_w) > threshold
                 inside = np.zeros_like(mask)
                 inside[max(int(r.y1), 0) : int(r.y2), max(int(r.x1), 0) : int(r.x2)] = True
                 coded = rle_encode(mask & inside)
                 rows.append((r.image_index, r.det_id, r.class_name, coded["size"], coded["counts"]))
-            yield pd.DataFrame(rows, columns=["image_index", "det_id", "class_name", "size", "counts"])
+        return pd.DataFrame(rows, columns=["image_index", "det_id", "class_name", "size", "counts"])
 
-    return joined.mapInPandas(build, "image_index int, det_id int, class_name string, size array<int>, counts array<int>")
+    asked = detections.select("image_index", "det_id", "class_name", "coeffs", "pad_x", "pad_y", "orig_w", "orig_h", "box.x1", "box.y1", "box.x2", "box.y2")
+    schema = "image_index int, det_id int, class_name string, size array<int>, counts array<int>"
+    return asked.groupBy("image_index").cogroup(prototypes.select("image_index", "protos", "n", "side").groupBy("image_index")).applyInPandas(build, schema)
 
 
 def bilinear(grid: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -156,17 +210,31 @@ def bilinear(grid: np.ndarray, height: int, width: int) -> np.ndarray:
     return upper * (1 - fy)[:, None] + lower * fy[:, None]
 
 
-def findings(masks: DataFrame, scores: DataFrame, images: DataFrame) -> DataFrame:
-    """(class_name, confidence, lesions, affected_pixels, affected_ratio, severity, image_indices), largest ratio first.
-
-    ``scores``: image_index, det_id, class_name, score. The ratio is over the pixels of all pictures, those without a
-    detection among them."""
-    pixels = images.agg(F.coalesce(F.sum(F.col("orig_w").cast("bigint") * F.col("orig_h")), F.lit(0)).alias("__all"))
-    areas = union_area(masks, ["image_index", "class_name"]).groupBy("class_name").agg(F.sum("pixels").alias("affected_pixels"))
-    seen = scores.groupBy("class_name").agg(F.max("score").alias("confidence"), F.count("*").alias("lesions"), F.sort_array(F.collect_set("image_index")).alias("image_indices"))
-    joined = seen.join(areas, "class_name", "left").fillna(0, ["affected_pixels"]).withColumn("__all", pixels.scalar())
+def findings(masks: DataFrame, scores: DataFrame, images: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, class_name, confidence, lesions, affected_pixels, affected_ratio, severity, n_images, image_indices), largest
+    ratio first.
+
+    ``scores``: image_index, det_id, class_name, score. With ``keys`` (of ``images``, such as a request) each of them has
+    findings of its own, and ``image_indices`` are its pictures; over a whole table select ``n_images`` instead, and no
+    pictures are listed. The ratio is over the pixels of all its pictures, those without a detection among them."""
+    sizes = images.select("image_index", *keys, (F.col("orig_w").cast("bigint") * F.col("orig_h")).alias("px"))
+    pixels = sizes.groupBy(*keys).agg(F.coalesce(F.sum("px"), F.lit(0)).alias("__all"))
+    areas, seen = union_area(masks, ["image_index", "class_name"]), scores
+    if keys:
+        of = sizes.drop("px")
+        areas, seen = areas.join(of, "image_index"), seen.join(of, "image_index")
+    areas = areas.groupBy(*keys, "class_name").agg(F.sum("pixels").alias("affected_pixels"))
+    seen = seen.groupBy(*keys, "class_name").agg(F.max("score").alias("confidence"), F.count("*").alias("lesions"), F.count_distinct("image_index").alias("n_images"), F.sort_array(F.collect_set("image_index")).alias("image_indices"))
+    joined = seen.join(areas, [*keys, "class_name"], "left").fillna(0, ["affected_pixels"])
+    joined = joined.join(pixels, [*keys]) if keys else joined.withColumn("__all", pixels.scalar())
     ratio = share(F.col("affected_pixels"), F.col("__all"))
-    return joined.select("class_name", "confidence", "lesions", "affected_pixels", ratio.alias("affected_ratio"), severity(ratio).alias("severity"), "image_indices").orderBy(F.desc("affected_ratio"), "class_name")
+    found = joined.select(*keys, "class_name", "confidence", "lesions", "affected_pixels", ratio.alias("affected_ratio"), severity(ratio).alias("severity"), "n_images", "image_indices")
+    return found.orderBy(*keys, F.desc("affected_ratio"), "class_name")
+
+
+def classes_per_image(detections: DataFrame) -> DataFrame:
+    """(image_index, lesions, classes): detections of each picture and the sorted names of their classes."""
+    return detections.groupBy("image_index").agg(F.count("*").alias("lesions"), F.sort_array(F.collect_set("class_name")).alias("classes"))
 
 
 def overall_area(masks: DataFrame, images: DataFrame) -> DataFrame:

@@ -32,6 +32,40 @@ def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("__place", place).filter("__place = 1").drop("__place")
 
 
+def _distinct_texts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text): of identical texts the one with the smallest id."""
+    rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+    return rows.groupBy(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")).agg(F.min_by("text", "id").alias("text"), F.min("id").alias("id")).select("id", "text")
+
+
+def near_copies(texts: DataFrame, id_col: str, text_col: str = "text", *, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id_a < id_b, shared, similarity): different texts whose sets of ``k``-word shingles have a Jaccard similarity of at
+    least ``similarity``. Words are runs of letters and digits in lower case; a text of fewer than ``k`` is one shingle, one
+    without words takes no part.
+
+    The pairs are those of representatives: identical texts are one, the smallest id, and ``exact_duplicates`` gives the
+    class of every id. Both texts of such a pair have a shingle in common among their first ``size - ceil(similarity x size)
+    + 1`` from rare to common, and neither is shorter than ``similarity`` of the other: only such texts meet, and no pair is
+    lost.
+    """
+    sets = _distinct_texts(texts, id_col, text_col).select("id", shingle_hashes(F.col("text"), k, between=r"[^\p{L}\p{N}]+", short=True).alias("grams"))
+    sets = stored(sets.filter("size(grams) > 0").withColumn("size", F.size("grams")))
+    grams = sets.select("id", "size", F.explode("grams").alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("docs")).filter("docs > 1")
+    met = stored(grams.join(often, "gram"))  # shingles of one text alone come first in its order and meet no other
+    alone = met.groupBy("id").agg(F.count("*").alias("common"))
+    ranked = met.join(alone, "id").withColumn("place", F.col("size") - F.col("common") + F.row_number().over(Window.partitionBy("id").orderBy("docs", "gram")))
+    first = ranked.filter(F.col("place") <= F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1).select("id", "size", "gram")
+    other = first.select("gram", F.col("id").alias("id_b"), F.col("size").alias("size_b"))
+    alike = (F.col("size") >= F.lit(similarity) * F.col("size_b") - 1e-9) & (F.col("size_b") >= F.lit(similarity) * F.col("size") - 1e-9)
+    pairs = first.join(other, "gram").filter((F.col("id") < F.col("id_b")) & alike).select(F.col("id").alias("id_a"), "id_b").distinct()
+    left = sets.select(F.col("id").alias("id_a"), F.col("grams").alias("a"))
+    right = sets.select(F.col("id").alias("id_b"), F.col("grams").alias("b"))
+    scored = pairs.join(left, "id_a").join(right, "id_b").withColumn("shared", F.size(F.array_intersect("a", "b")))
+    scored = scored.withColumn("similarity", F.col("shared") / (F.size("a") + F.size("b") - F.col("shared")))
+    return scored.filter(F.col("similarity") >= similarity).select("id_a", "id_b", "shared", "similarity")
+
+
 def near_duplicates(texts: DataFrame, id_col: str, text_col: str = "text", *, k: int = 8, least_words: int = 60, overlap: float = 0.30) -> DataFrame:
     """(id_a < id_b, shared, overlap): texts of ``least_words`` or more words of a-z of which at least ``overlap`` of
     the smaller one's ``k``-word shingles stand in the other.
@@ -41,8 +75,7 @@ def near_duplicates(texts: DataFrame, id_col: str, text_col: str = "text", *, k:
     rare to common, and two texts can only reach ``overlap`` if they meet in the first (1 - overlap) of the
     smaller one's; that loses no pair.
     """
-    rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
-    rows = rows.groupBy(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")).agg(F.min_by("text", "id").alias("text"), F.min("id").alias("id"))
+    rows = _distinct_texts(texts, id_col, text_col)
     letters = F.size(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != ""))
     sets = stored(rows.filter(letters >= least_words).select("id", shingle_hashes(F.col("text"), k).alias("grams")).filter("size(grams) > 0"))
     grams = sets.select("id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))

@@ -19,6 +19,17 @@ CAPTION = r"^\s*(fig(?:ure)?|plate|photo|table)\s*\.?\s*\d+"
 PAGE_NUMBER = r"^\s*\d{1,4}\s*$"
 
 
+def lines_of_pages(pages: DataFrame) -> DataFrame:
+    """``schemas.LAYOUT_LINES`` of ``NESTED_PAGES``: a line's text is that of its spans, its size the largest of them; lines
+    are numbered through their page, and blocks without lines (pictures) are passed over."""
+    none = F.array().cast(pages.schema["blocks"].dataType.elementType["lines"].dataType)
+    listed = F.flatten(F.transform("blocks", lambda b: F.coalesce(b["lines"], none)))
+    rows = pages.select("filename", "page", "page_width", "page_height", F.posexplode(listed).alias("line_no", "line"))
+    box = [F.get("line.bbox", F.lit(n)).alias(name) for n, name in enumerate(("x0", "y0", "x1", "y1"))]
+    text = F.array_join(F.transform("line.spans", lambda s: s["text"]), "")
+    return rows.select("filename", "page", "page_width", "page_height", "line_no", *box, F.array_max(F.transform("line.spans", lambda s: s["size"])).alias("size"), text.alias("text"))
+
+
 def solid_lines(lines: DataFrame, limits: LayoutLimits = LayoutLimits()) -> DataFrame:
     """Lines that are no stray fragments."""
     return lines.filter(F.col("x1") - F.col("x0") > F.col("page_width") * limits.fragment_width)
@@ -69,7 +80,7 @@ def reading_order(lines: DataFrame, layout: DataFrame | None = None) -> DataFram
     if layout is None:
         lines = lines.withColumn("two_column", F.lit(False))
     else:
-        lines = lines.join(F.broadcast(layout.select("filename", "two_column")), "filename", "left").fillna(False, ["two_column"])
+        lines = lines.join(layout.select("filename", "two_column"), "filename", "left").fillna(False, ["two_column"])
     half = F.when(F.col("two_column") & ((F.col("x0") + F.col("x1")) / 2 >= F.col("page_width") / 2), 1).otherwise(0)
     order = Window.partitionBy(*PAGE).orderBy(half, F.bround("y0", 1), "x0", "line_no")
     return lines.withColumn("place", F.row_number().over(order)).drop("two_column")
@@ -118,7 +129,7 @@ def running_lines(lines: DataFrame, pages: DataFrame, limits: LayoutLimits = Lay
     placed = lines.select(*PAGE, "y0", F.trim("text").alias("text")).join(pages.select(*PAGE, "height"), [*PAGE])
     outer = (F.col("y0") < F.col("height") * limits.header_band) | (F.col("y0") > F.col("height") * (1 - limits.header_band))
     seen = placed.filter(outer & (F.col("text") != "") & ~F.col("text").rlike(r"(?U)^\d+$")).groupBy("filename", "text").agg(F.count("*").alias("n_lines"))
-    often = seen.join(F.broadcast(counts), "filename").filter(F.col("n_lines") >= F.greatest(F.lit(limits.header_least), F.col("n_pages") * limits.header_ratio))
+    often = seen.join(counts, "filename").filter(F.col("n_lines") >= F.greatest(F.lit(limits.header_least), F.col("n_pages") * limits.header_ratio))
     return often.filter(F.length("text") > limits.header_chars).select("filename", "text", "n_lines")
 
 

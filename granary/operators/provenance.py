@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.text import filled, matches
+from granary.functions.text import filled, matches, once
 
 # Titles that are none, publishers in imprints and by name, types of documents.
 TITLE_JUNK = r"^(untitled|microsoft word|doc\d*|print|\s*)$"
@@ -104,17 +104,23 @@ def is_initialism(stem: Column, title: Column) -> Column:
 
 def name_mismatch(stem: Column, title: Column, sample: Column) -> Column:
     """What is wrong if file name and title share no longer word: which of them the text supports. Null if fine."""
+    return name_finding(stem, title, topic_support(F.translate(stem, "-_", "  "), sample), topic_support(title, sample))
 
-    def topic(text: Column) -> Column:
-        return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) > 3))
 
-    def support(topics: Column) -> Column:
-        body = F.regexp_extract_all(F.lower(sample), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-        return F.aggregate(body, F.lit(0), lambda s, b: s + F.size(F.filter(topics, lambda w: F.startswith(b, w))))
+def _topics(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) > 3))
 
-    by_name, by_title = topic(F.translate(stem, "-_", "  ")), topic(title)
+
+def topic_support(name: Column, text: Column) -> Column:
+    """How many words of a text begin with a longer word of a name. The counts of a document's parts add up."""
+    body = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return once(_topics(name), lambda topics: F.aggregate(body, F.lit(0), lambda s, b: s + F.size(F.filter(topics, lambda w: F.startswith(b, w)))))
+
+
+def name_finding(stem: Column, title: Column, name_hits: Column, title_hits: Column) -> Column:
+    """``name_mismatch`` from the support of the file name's and the title's words in the whole document."""
+    by_name, by_title = _topics(F.translate(stem, "-_", "  ")), _topics(title)
     fine = (F.length(title) < 5) | is_initialism(stem, title) | (F.size(by_name) == 0) | (F.size(by_title) == 0) | F.arrays_overlap(by_name, by_title)
-    name_hits, title_hits = support(by_name), support(by_title)
     agrees = F.format_string("file name '%s' agrees with the text (%d), title '%s' doesn't (%d)", stem, name_hits, title, title_hits)
     differs = F.format_string("file name '%s' disagrees with the text (%d), title '%s' agrees (%d)", stem, name_hits, title, title_hits)
     return F.when(~F.coalesce(fine, F.lit(True)), F.when(name_hits >= title_hits, agrees).otherwise(differs))

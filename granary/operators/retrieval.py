@@ -14,11 +14,14 @@ from granary import config
 from granary.config import RetrievalLimits
 from granary.functions.text import filled
 from granary.functions.vectors import cosine, usable
+from granary.storage import stored
 
 INTENTS = ("treatment", "reference", "unfiltered")
 NO_PASSAGES = "No passages found."
 #: Requests that are sent to every executor at once (64 floats each: about 6 MB); more go in blocks.
 _REQUEST_BLOCK = 20_000
+#: Blocks that one pass over the rows holds.
+_BLOCKS_AT_ONCE = 8
 
 
 def clamped_k(k: Column, limits: RetrievalLimits = RetrievalLimits()) -> Column:
@@ -57,60 +60,83 @@ def top_k(chunks: DataFrame, query: list[float], k: int | None = None, disease:
     return scored.filter("score is not null").orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
+class _Best:
+    """The ``k`` best (score, name) of each of ``n`` queries; of equal scores the smallest names."""
+
+    def __init__(self, n: int, k: int, names: np.dtype) -> None:
+        self.score, self.name = np.full((n, k), -np.inf), np.zeros((n, k), names)
+
+    def offer(self, row: np.ndarray, score: np.ndarray, name: np.ndarray) -> None:
+        k = self.score.shape[1]
+        who = np.unique(row)
+        if name.dtype.itemsize > self.name.dtype.itemsize:
+            self.name = self.name.astype(name.dtype)
+        r = np.concatenate([row, np.repeat(who, k)])
+        s = np.concatenate([score, self.score[who].ravel()])
+        n = np.concatenate([name, self.name[who].ravel()])
+        order = np.lexsort((n, -s, r))
+        r, s, n = r[order], s[order], n[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        kept = place < k
+        self.score[r[kept], place[kept]], self.name[r[kept], place[kept]] = s[kept], n[kept]
+
+    def candidates(self, some: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``scores`` (of the queries ``some``) that may be among the best."""
+        top = min(self.score.shape[1], scores.shape[1])
+        cut = np.maximum(-np.partition(-scores, top - 1, axis=1)[:, top - 1], self.score[some, -1])
+        return np.nonzero((scores >= cut[:, None]) & (scores > -np.inf))
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        r, c = np.nonzero(self.score > -np.inf)
+        return r, self.name[r, c], self.score[r, c]
+
+
+def _query_blocks(queries: DataFrame, key: str) -> list[list[pa.Table]]:
+    """The queries in blocks of about ``_REQUEST_BLOCK``, several for one pass over the rows that are searched."""
+    queries = stored(queries)
+    n = max(1, -(-queries.count() // _REQUEST_BLOCK))
+    told = (queries.filter(F.pmod(F.xxhash64(key), F.lit(n)) == block).toArrow() for block in range(n))
+    tables = [t for t in told if t.num_rows]
+    return [tables[i : i + _BLOCKS_AT_ONCE] for i in range(0, len(tables), _BLOCKS_AT_ONCE)]
+
+
 def request_results(requests: DataFrame, chunks: DataFrame, limits: RetrievalLimits = RetrievalLimits()) -> DataFrame:
     """(request_id, rank, chunk_id, score) of all requests against all chunks (chunk_id, disease_name, document_type,
     is_inoculation_protocol, vector), chunk ids once each.
 
     Null and empty diseases mean any; unknown ones match nothing; a null or unknown intent is reference. Requests
-    and chunks without a usable vector get or give nothing. Requests go in blocks of bounded size: matrix
-    products score each batch of chunks against a block and keep the best of every request, so what is
-    shuffled are at most ``most_k`` rows per request and batch.
+    and chunks without a usable vector get or give nothing. Requests go in blocks of bounded size, several in one
+    pass over the chunks: matrix products score each batch of chunks against them, and a task keeps the best of every
+    request over all it reads, so that at most ``most_k`` rows per request and task are shuffled.
     """
     dim, most = limits.dim, limits.most_k
     asked = requests.filter(usable(F.col("query_vector"), dim) & F.col("request_id").isNotNull()).select(
         "request_id", F.col("query_vector").alias("q"), filled(F.trim("disease_name")).alias("disease"), F.coalesce(F.col("intent") == "unfiltered", F.lit(False)).alias("open"), clamped_k(F.col("top_k"), limits).alias("k"))
-    rows = chunks.filter(usable(F.col("vector"), dim)).select("chunk_id", "vector", "disease_name", safe(F.col("document_type"), F.col("is_inoculation_protocol")).alias("ok"))
+    rows = chunks.filter(usable(F.col("vector"), dim) & F.col("chunk_id").isNotNull()).select("chunk_id", "vector", "disease_name", safe(F.col("document_type"), F.col("is_inoculation_protocol")).alias("ok"))
     spark = requests.sparkSession
-    numbered = asked.withColumn("block", F.floor((F.row_number().over(Window.orderBy("request_id")) - 1) / _REQUEST_BLOCK)) if asked.count() > _REQUEST_BLOCK else asked.withColumn("block", F.lit(0).cast("bigint"))
-    blocks = sorted(r[0] for r in numbered.select("block").distinct().collect())
+    passes = _query_blocks(asked, "request_id")
+    rows = stored(rows) if len(passes) > 1 else rows
     schema = "request_id string, chunk_id string, score double, k int"
     found = spark.createDataFrame([], schema)
-    for block in blocks:
-        told = numbered.filter(F.col("block") == block).drop("block").toPandas()
-        queries = np.array(told["q"].tolist(), np.float64)
-        queries /= np.linalg.norm(queries, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((told["request_id"].to_numpy(object), queries, np.array([d if isinstance(d, str) else None for d in told["disease"]], object), told["open"].to_numpy(bool), told["k"].to_numpy()))
+    for blocks in passes:
+        shared = [spark.sparkContext.broadcast(_Requests(told, dim)) for told in blocks]
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            ids, q, disease, free, k = shared.value
-            wanted = {d: np.flatnonzero(disease == d) for d in {x for x in disease if x is not None}}
-            anyone = np.flatnonzero([d is None for d in disease])
+            best = [_Best(len(b.value.ids), most, np.dtype("S1")) for b in shared]
             for batch in batches:
+                if not batch.num_rows:
+                    continue
                 v = batch["vector"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
                 v /= np.linalg.norm(v, axis=1, keepdims=True)
                 ok = batch["ok"].to_numpy(zero_copy_only=False).astype(bool)
                 label = np.array(batch["disease_name"].to_pylist(), object)
-                by_name = np.argsort(np.argsort(np.array(batch["chunk_id"].to_pylist(), object)))
-                asked_rows, found_rows, found_scores = [], [], []
-                for asking, held in [(anyone, np.arange(len(v)))] + [(at, np.flatnonzero(label == d)) for d, at in wanted.items()]:
-                    for use, who in ((held[ok[held]], asking[~free[asking]]), (held, asking[free[asking]])):
-                        for start in range(0, len(who) if len(use) else 0, 512):
-                            some = who[start : start + 512]
-                            scores = np.round(q[some] @ v[use].T, 12)
-                            top = min(most, len(use))
-                            cut = -np.partition(-scores, top - 1, axis=1)[:, top - 1 : top]
-                            i, j = np.nonzero(scores >= cut)
-                            order = np.lexsort((by_name[use[j]], -scores[i, j], i))  # of equals at the cut the first ids
-                            i, j = i[order], j[order]
-                            within = np.arange(len(i)) - np.searchsorted(i, i) < top
-                            i, j = i[within], j[within]
-                            asked_rows.append(some[i])
-                            found_rows.append(use[j])
-                            found_scores.append(scores[i, j])
-                if asked_rows:
-                    r, c = np.concatenate(asked_rows), np.concatenate(found_rows)
-                    columns = [pa.array(ids[r], pa.string()), batch["chunk_id"].take(pa.array(c)), pa.array(np.concatenate(found_scores)), pa.array(k[r].astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["request_id", "chunk_id", "score", "k"])
+                name = np.array([x.encode() for x in batch["chunk_id"].to_pylist()])
+                for b, kept in zip(shared, best, strict=True):
+                    b.value.offer(v, label, ok, name, kept)
+            for b, kept in zip(shared, best, strict=True):
+                r, name, score = kept.rows()
+                columns = [pa.array(b.value.ids[r], pa.string()), pa.array([x.decode() for x in name.tolist()], pa.string()), pa.array(score), pa.array(b.value.k[r].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["request_id", "chunk_id", "score", "k"])
 
         found = found.unionByName(rows.mapInArrow(search, schema))
     found = found.withColumn("score", F.round("score", 12)).dropDuplicates(["request_id", "chunk_id"])
@@ -118,6 +144,31 @@ def request_results(requests: DataFrame, chunks: DataFrame, limits: RetrievalLim
     return found.withColumn("rank", F.row_number().over(best)).filter((F.col("rank") <= most) & (F.col("rank") <= F.col("k"))).select("request_id", "rank", "chunk_id", "score")
 
 
+class _Requests:
+    """A block of requests: unit vectors, and which of them ask for which class."""
+
+    def __init__(self, told: pa.Table, dim: int) -> None:
+        self.ids = np.array(told["request_id"].to_pylist(), object)
+        self.q = told["q"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        self.q /= np.linalg.norm(self.q, axis=1, keepdims=True)
+        self.free, self.k = told["open"].to_numpy(zero_copy_only=False).astype(bool), told["k"].to_numpy()
+        disease = np.array(told["disease"].to_pylist(), object)
+        self.anyone = np.flatnonzero([d is None for d in disease])
+        self.wanted = {d: np.flatnonzero(disease == d) for d in {x for x in disease if x is not None}}
+
+    def offer(self, v: np.ndarray, label: np.ndarray, ok: np.ndarray, name: np.ndarray, kept: _Best) -> None:
+        told: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for asking, held in [(self.anyone, np.arange(len(v)))] + [(at, np.flatnonzero(label == d)) for d, at in self.wanted.items()]:
+            for use, who in ((held[ok[held]], asking[~self.free[asking]]), (held, asking[self.free[asking]])):
+                for start in range(0, len(who) if len(use) else 0, 512):
+                    some = who[start : start + 512]
+                    scores = np.round(self.q[some] @ v[use].T, 12)
+                    i, j = kept.candidates(some, scores)
+                    told.append((some[i], scores[i, j], name[use[j]]))
+        if told:
+            kept.offer(*(np.concatenate(x) for x in zip(*told, strict=True)))
+
+
 def query_results(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score) of all queries (query_id, q and, where only rows of one label may come, label)
     against all rows (vec_id, embedding, label): the ``k`` largest inner products, rounded to 9 places, ties by vec_id.
@@ -126,42 +177,36 @@ def query_results(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """
     labelled = "label" in queries.columns
     spark = rows.sparkSession
-    asked = queries.filter("query_id is not null and q is not null").withColumn("q", F.col("q").cast("array<double>"))
-    numbered = asked.withColumn("block", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / _REQUEST_BLOCK)) if asked.count() > _REQUEST_BLOCK else asked.withColumn("block", F.lit(0).cast("bigint"))
-    blocks = sorted(r[0] for r in numbered.select("block").distinct().collect())
+    asked = queries.filter("query_id is not null and q is not null").withColumn("q", F.col("q").cast("array<double>")).select("query_id", "q", *([F.col("label").cast("string")] if labelled else []))
     searched = rows.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>"), *([F.col("label").cast("string")] if labelled else []))
     schema = "query_id bigint, vec_id bigint, score double"
     found = spark.createDataFrame([], schema)
-    for block in blocks:
-        told = numbered.filter(F.col("block") == block).drop("block").toPandas()
-        shared = spark.sparkContext.broadcast((told["query_id"].to_numpy(np.int64), np.array(told["q"].tolist(), np.float64), told["label"].astype(str).to_numpy(object) if labelled else None))
+    for blocks in _query_blocks(asked, "query_id"):
+        shared = [
+            spark.sparkContext.broadcast((t["query_id"].to_numpy().astype(np.int64), np.array(t["q"].to_pylist(), np.float64), np.array(t["label"].to_pylist(), object) if labelled else None)) for t in blocks
+        ]
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            ids, q, label = shared.value
+            best = [_Best(len(b.value[0]), k, np.dtype(np.int64)) for b in shared]
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                v = batch["embedding"].flatten().to_numpy(zero_copy_only=False).reshape(-1, q.shape[1])
+                v = batch["embedding"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
                 name = batch["vec_id"].to_numpy()
                 held = np.array(batch["label"].to_pylist(), object) if labelled else None
-                asked_rows, found_rows, found_scores = [], [], []
-                for start in range(0, len(q), 256):
-                    some = np.arange(start, min(start + 256, len(q)))
-                    scores = np.round(q[some] @ v.T, 9)
-                    scores[ids[some][:, None] == name] = -np.inf
-                    if labelled:
-                        scores[label[some][:, None] != held] = -np.inf
-                    top = min(k, len(v))
-                    cut = -np.partition(-scores, top - 1, axis=1)[:, top - 1 : top]
-                    i, j = np.nonzero((scores >= cut) & (scores > -np.inf))
-                    order = np.lexsort((name[j], -scores[i, j], i))  # of equals at the cut the first ids
-                    i, j = i[order], j[order]
-                    within = np.arange(len(i)) - np.searchsorted(i, i) < top
-                    i, j = i[within], j[within]
-                    asked_rows.append(ids[some[i]])
-                    found_rows.append(name[j])
-                    found_scores.append(scores[i, j])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (asked_rows, found_rows, found_scores)], names=["query_id", "vec_id", "score"])
+                for b, kept in zip(shared, best, strict=True):
+                    ids, q, label = b.value
+                    for start in range(0, len(q), 256):
+                        some = np.arange(start, min(start + 256, len(q)))
+                        scores = np.round(q[some] @ v.T, 9)
+                        scores[ids[some][:, None] == name] = -np.inf
+                        if labelled:
+                            scores[label[some][:, None] != held] = -np.inf
+                        i, j = kept.candidates(some, scores)
+                        kept.offer(some[i], scores[i, j], name[j])
+            for b, kept in zip(shared, best, strict=True):
+                r, name, score = kept.rows()
+                yield pa.RecordBatch.from_arrays([pa.array(b.value[0][r]), pa.array(name), pa.array(score)], names=["query_id", "vec_id", "score"])
 
         found = found.unionByName(searched.mapInArrow(search, schema))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -212,6 +257,18 @@ def context(results: DataFrame, keys: list[str], rank: str = "rank") -> DataFram
     )
 
 
+def tool_reply(chunks: DataFrame, query: list[float], k: int | None = None, disease: str | None = None, limits: RetrievalLimits = RetrievalLimits()) -> DataFrame:
+    """One row (text, n_passages) as a model's tool gives it: the passages of what may be shown for treatment, a marker if
+    there are none, or what was wrong with the question."""
+    try:
+        found = top_k(chunks, query, k, disease, "treatment", limits)
+    except ValueError as wrong:
+        return chunks.sparkSession.createDataFrame([(f"retrieval failed: {wrong}", 0)], "text string, n_passages bigint")
+    told = context(found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id"))), [])  # at most most_k rows
+    rows = chunks.sparkSession.createDataFrame([(NO_PASSAGES, 0)], "marker string, none bigint").join(told.filter("n_passages > 0"), F.lit(True), "left")
+    return rows.select(F.coalesce("context", "marker").alias("text"), F.coalesce("n_passages", "none").alias("n_passages"))
+
+
 def chunks_with_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """Each chunk id once, with its vector; repeated rows and chunks without vector left out."""
     one = vectors.groupBy("chunk_id").agg(F.min("vector").alias("vector"))

@@ -53,7 +53,7 @@ def slide_decks(documents: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def figure_captions(ordered: DataFrame, sizes: DataFrame) -> DataFrame:
     """``schemas.FIGURE_CAPTIONS`` among lines of body size or smaller."""
-    found = ordered.join(F.broadcast(sizes), "filename").filter(matches(F.col("text"), FIGURE) & (F.col("size") <= F.col("body_size")))
+    found = ordered.join(sizes, "filename").filter(matches(F.col("text"), FIGURE) & (F.col("size") <= F.col("body_size")))
     index = Window.partitionBy("filename").orderBy("page", "place")
     return found.select("filename", (F.row_number().over(index) - 1).alias("caption_index"), "page", "text")
 
@@ -68,8 +68,8 @@ def sections(ordered: DataFrame, decks: DataFrame | None = None) -> DataFrame:
     """
     ordered = stored(ordered.select("filename", "page", "place", "line_no", "size", "text"))  # read for sizes and for lines
     sizes = body_font_size(ordered)
-    lines = ordered.join(F.broadcast(sizes), "filename")
-    lines = lines.withColumn("is_deck", F.lit(False)) if decks is None else lines.join(F.broadcast(decks), "filename", "left").fillna(False, ["is_deck"])
+    lines = ordered.join(sizes, "filename")
+    lines = lines.withColumn("is_deck", F.lit(False)) if decks is None else lines.join(decks, "filename", "left").fillna(False, ["is_deck"])
     lines = lines.withColumn("gate", plausible_heading(F.col("text")))
     heading = F.col("gate") & (matches(F.col("text"), NUMBERED, any_case=False) | (F.col("size") >= F.col("body_size") + _LARGER))
     figure = ~F.col("is_deck") & matches(F.col("text"), FIGURE) & (F.col("size") <= F.col("body_size"))

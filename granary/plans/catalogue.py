@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.plans import balance, collection, pages, search, texts, vision
+from granary.plans import answers, balance, collection, pages, search, texts, vision
 
-_PARTS = (search, balance, texts, pages, collection, vision)
+_PARTS = (search, balance, texts, pages, collection, vision, answers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from granary import config
-from granary.operators import chunking, provenance, quality, records, reports
-from granary.plans.common import table
+from granary.operators import answers, chunking, provenance, quality, records, reports
+from granary.plans.common import collapsed_sql, table, words_sql
 from granary.sources.files import to_collection
 
 DEFAULT_PARENT = "default"
@@ -102,10 +102,44 @@ def sectionized_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def name_checks(spark: SparkSession, folder: str) -> DataFrame:
-    """File names that don't fit their title, with what the text supports."""
-    rows = table(spark, folder, "chunks").groupBy("source_document").agg(F.min("document_title").alias("title"), F.min("text").alias("sample"))
+    """File names that don't fit their title, with what the texts of all their chunks support."""
+    chunks = table(spark, folder, "chunks").select("chunk_id", "source_document", "document_title", "text").dropDuplicates(["chunk_id"])
+    titles = chunks.groupBy("source_document").agg(F.min("document_title").alias("title"))
     stem = F.regexp_replace("source_document", r"\.\w+$", "")
-    return rows.select("source_document", provenance.name_mismatch(stem, F.col("title"), F.col("sample")).alias("finding"))
+    rows = chunks.join(titles, "source_document").select("source_document", "title", provenance.topic_support(F.translate(stem, "-_", "  "), F.col("text")).alias("a"), provenance.topic_support(F.col("title"), F.col("text")).alias("b"))
+    rows = rows.groupBy("source_document", "title").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return rows.select("source_document", provenance.name_finding(stem, F.col("title"), F.col("a"), F.col("b")).alias("finding"))
+
+
+def front_matter(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files whose text is the front matter: title, publisher and type."""
+    rows = table(spark, folder, "documents").withColumn("author", F.when(F.col("doc_id") % 9 == 0, "Louisiana State University").when(F.col("doc_id") % 10 == 0, "Copyright by IRRI"))
+    meta = F.when(F.col("doc_id") % 4 == 0, "Microsoft Word").otherwise(F.col("title"))
+    told = rows.select("doc_id", "text", "author", provenance.verified_title(meta, F.col("text")).alias("title"))
+    told = told.withColumn("p", provenance.publisher(F.col("text"), F.col("author"), F.col("title")))
+    kind = provenance.document_type(F.col("title"), F.col("text"), F.col("doc_id") % 2, F.col("doc_id") % 60)
+    return told.select("doc_id", "title", "p.organization", "p.evidence", kind.alias("type"))
+
+
+def producer_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by producer, which their number makes."""
+    made = F.when(F.col("doc_id") % 5 == 0, None).when(F.col("doc_id") % 5 == 1, " ").otherwise(F.concat(F.lit("writer "), (F.col("doc_id") % 5).cast("string")))
+    return answers.clusters(table(spark, folder, "documents").select(made.alias("producer")), "producer")
+
+
+def treatment_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Treatment chunks as nested tables of one record each, made chunks again."""
+    return records.treatment_chunks(_record_tables(spark, folder), {"document": "handbook.pdf", "document_title": "Handbook", "organization": "Station"}).select("chunk_id", "text", "disease_name", "disease_name_is_canonical", "section", "word_count", "recommended_treatment", "active_ingredient", "dosage", "crop_stage")
+
+
+def _record_tables(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "chunks").filter("chunk_type = 'treatment_record'").dropDuplicates(["chunk_id"])
+    none = F.lit(None).cast("string")
+    record = F.struct(
+        F.nullif("recommended_treatment", F.lit("")).alias("fungicide"), "active_ingredient", F.col("dosage").alias("rate_per_acre"), F.col("crop_stage").alias("cultivar_reaction"), none.alias("percent_positive_stops"),
+        F.col("page_start").cast("string").alias("percent_infected_tillers"), F.col("symptom").alias("comments"), none.alias("disease_name"), "source_disease_label",
+    )
+    return rows.select(F.col("chunk_id").alias("table_id"), F.coalesce("page_start", F.lit(0)).alias("page"), F.coalesce("section", F.lit("")).alias("caption"), "disease_name", F.array(record).alias("records"))
 
 
 def thinnest_sources(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,14 +181,71 @@ def record_checks(spark: SparkSession, folder: str) -> DataFrame:
     return records.verified(tables, rows.select(page.alias("page"), "text")).select(F.col("table_id").alias("chunk_id"), "field", "value", "found")
 
 
+def verification_report(spark: SparkSession, folder: str) -> DataFrame:
+    return records.verification_report(record_checks(spark, folder))
+
+
+def publisher_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each document names a publisher."""
+    told = F.map_entries(provenance.mentions(F.col("text"), {"IRRI": r"\bIRRI\b", "rice": "rice", "station": "station"}))
+    return table(spark, folder, "documents").select("doc_id", F.explode(told).alias("e")).select("doc_id", F.col("e.key").alias("name"), F.col("e.value").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (thinnest_sources, caption_samples, top_line_items, confidence_labels, record_checks, manifest_overlay, key_report, class_report, chunk_report, unsafe_chunks, unexpected_classes, label_sets, reconciled, quarantine, union_chunks, densest_sources, distribution,
+    for f in (thinnest_sources, caption_samples, top_line_items, confidence_labels, record_checks, manifest_overlay, key_report, class_report, chunk_report, unsafe_chunks, unexpected_classes, label_sets, reconciled, quarantine, union_chunks, verification_report, publisher_mentions, front_matter, producer_clusters, treatment_chunks, densest_sources, distribution,
               dimension_overlay, event_gaps, sectionized_events, name_checks)
 }
 
+_IMPRINT = "case " + " ".join(f"when regexp_matches(blob, '(?i){p}') then ['{n}', 'imprint']" for n, p in provenance.IMPRINTS.items()) + " " + " ".join(f"when regexp_matches(named, '(?i){p}') then ['{n}', 'publisher_name_in_frontmatter']" for n, p in provenance.PUBLISHERS.items()) + " else ['undetermined', 'none_in_frontmatter'] end"
+_TOPICS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z]+'), lambda w: length(w) > 3))"
+_SUPPORT = r"list_sum(list_transform(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda b: len(list_filter({0}, lambda w: starts_with(b, w)))))"
 _CANON = ", ".join(f"'{c}'" for c in config.CANONICAL_CLASSES)
+def _checking(x: str) -> str:
+    return f"lower({collapsed_sql(f"translate(replace({x}, chr(173), ''), '–—’', '--' || chr(39))")})"
+
+
+# The words of v one after another in t: the place behind the last one found, the first one's place.
+_FOUND = "instr(substr(t, x.at), y.w)"
+_ORDERED = f"""list_reduce(list_concat([{{'w': '', 'at': 1, 'start': 0, 'ok': true}}], list_transform(string_split(v, ' '), lambda w: {{'w': w, 'at': 1, 'start': 0, 'ok': true}})),
+    lambda x, y: {{'w': '', 'at': cast(case when x.ok and {_FOUND} > 0 then x.at + {_FOUND} - 1 + length(y.w) else x.at end as integer),
+        'start': cast(case when x.ok and {_FOUND} > 0 and x.start = 0 then x.at + {_FOUND} - 1 else x.start end as integer), 'ok': x.ok and {_FOUND} > 0}})"""
+
+_RECORDS = f"""
+        with o as (select distinct on (chunk_id) * from chunks where chunk_type = 'treatment_record'),
+        a as (select chunk_id, text, unnest(['fungicide', 'active_ingredient', 'rate_per_acre', 'source_disease_label']) as field, unnest([recommended_treatment, active_ingredient, dosage, trim(string_split(source_disease_label, '(')[1], ' ')]) as value from o),
+        f as (select *, {_checking('value')} as v, {_checking('text')} as t from a where coalesce(value, '') <> '' and value <> '{records.EXEMPT[0]}'),
+        r as (select *, {_ORDERED} as s from f)
+        select chunk_id, field, value, coalesce(contains(t, v) or (s.ok and s.at - s.start < length(v) + 120), false) as found from r"""
+
 SQL = {
+    "record_checks": _RECORDS,
+    "verification_report": f"select count(*) as checked, count(*) filter (where found) as confirmed, count(*) filter (where not found) as failed from ({_RECORDS})",
+    "publisher_mentions": r"""
+        with m as (select doc_id, unnest(['IRRI', 'rice', 'station']) as name, unnest([len(regexp_extract_all(coalesce(text, ''), '(?i)\bIRRI\b')), len(regexp_extract_all(coalesce(text, ''), '(?i)rice')), len(regexp_extract_all(coalesce(text, ''), '(?i)station'))]) as n from documents)
+        select doc_id, name, cast(n as integer) as n from m""",
+    "name_checks": f"""
+        with c as (select distinct on (chunk_id) chunk_id, source_document, document_title, text from chunks), t as (select source_document, min(document_title) as title, regexp_replace(source_document, '\\.\\w+$', '') as stem from c group by all),
+        w as (select *, {_TOPICS.format("translate(stem, '-_', '  ')")} as wn, {_TOPICS.format('title')} as wt from t),
+        n as (select w.source_document, sum(coalesce({_SUPPORT.format('wn')}, 0)) as a, sum(coalesce({_SUPPORT.format('wt')}, 0)) as b from c join w using (source_document) where text is not null group by all),
+        f as (select *, length(title) < 5 or len(list_filter(regexp_extract_all(stem, '[A-Za-z]{{2,}}'), lambda x: contains(lower(array_to_string(list_transform(regexp_extract_all(title, '[A-Za-z]+'), lambda y: left(y, 1)), '')), lower(x)))) > 0
+            or len(wn) = 0 or len(wt) = 0 or list_has_any(wn, wt) as fine from w join n using (source_document))
+        select source_document, case when not coalesce(fine, true) then case when a >= b then printf('file name ''%s'' agrees with the text (%d), title ''%s'' doesn''t (%d)', stem, a::bigint, title, b::bigint)
+            else printf('file name ''%s'' disagrees with the text (%d), title ''%s'' agrees (%d)', stem, a::bigint, title, b::bigint) end end as finding from f""",
+    "front_matter": f"""
+        with d as (select doc_id, text, case when doc_id % 9 = 0 then 'Louisiana State University' when doc_id % 10 = 0 then 'Copyright by IRRI' end as author, trim(coalesce(case when doc_id % 4 = 0 then 'Microsoft Word' else title end, ''), ' ') as meta from documents),
+        t as (select *, left(case when regexp_matches(meta, '(?i){provenance.TITLE_JUNK}') or length(meta) < 5 then coalesce(list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x: trim(x, ' ')), lambda x: length(x) >= 12 and regexp_matches(x, '\\p{{L}}'))[1], '') else meta end, 200) as title from d),
+        b as (select *, concat_ws(' ', left(text, 3000), author) as blob, concat_ws(' ', left(text, 3000), author, title) as named, lower(concat_ws(' ', title, text)) as body from t),
+        p as (select *, {_IMPRINT} as p from b)
+        select doc_id, title, p[1] as organization, p[2] as evidence, case when regexp_matches(body, '(?i){provenance.TYPES[0][1].replace('.{0,4000}', '.*')}') then 'research_paper' when regexp_matches(body, '(?i){provenance.TYPES[1][1]}') then 'field_guide'
+            when doc_id % 60 <= 40 and (doc_id % 2 > 0 or regexp_matches(body, '(?i){provenance.TYPES[2][1]}')) then 'bulletin' else 'other' end as type from p""",
+    "producer_clusters": "select case when doc_id % 5 < 2 then 'unknown' else 'writer ' || (doc_id % 5) end as producer, count(*) as n from documents group by 1",
+    "treatment_chunks": f"""
+        with o as (select distinct on (chunk_id) *, coalesce(section, '') as caption, nullif(recommended_treatment, '') as product, nullif(disease_name, '') as label from chunks where chunk_type = 'treatment_record'),
+        t as (select *, trim(case when product is not null then caption || ' For ' || coalesce(source_disease_label, label, 'None') || ': apply ' || product || ' (active ingredient ' || coalesce(active_ingredient, '') || ') at ' || coalesce(dosage, '') || ' per acre. ' || coalesce(symptom, '')
+            else caption || ' For a cultivar rated ' || coalesce(crop_stage, '') || ', the treatment threshold is n/a% positive stops and ' || coalesce(page_start::varchar, 'n/a') || '% infected tillers. ' || coalesce(symptom, '') end, ' ') as told from o)
+        select 'records:' || replace(chunk_id, ' ', '-') || ':0' as chunk_id, told as text, label as disease_name, coalesce(label in ({_CANON}), false) as disease_name_is_canonical, chunk_id as section, cast({words_sql('told')} as integer) as word_count,
+            product as recommended_treatment, case when product is not null then active_ingredient end as active_ingredient, case when product is not null then dosage end as dosage, case when product is null then symptom end as crop_stage from t""",
     "thinnest_sources": """
         with n as (select source_document as filename, count(distinct page_start) filter (where word_count < 60) as n from chunks group by all), t as (select * from n order by n desc, filename limit 6)
         select filename, cast(n as integer) as n from t where n > 0""",

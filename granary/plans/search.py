@@ -108,12 +108,12 @@ def passages(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "chunks").filter("chunk_type = 'treatment_record'").dropDuplicates(["chunk_id"])
     order = Window.partitionBy("source_document").orderBy("chunk_id")
     rows = rows.withColumn("rank", F.row_number().over(order))
-    return retrieval.context(rows, ["source_document"]).select("source_document", "context", "n_passages")
+    return retrieval.context(rows, ["source_document"])
 
 
-_CITATION = """coalesce(nullif(document_title, ''), source_document) || ' (' || coalesce(nullif(organization, ''), 'unknown source') || ')'
+CITATION_SQL = """coalesce(nullif(document_title, ''), source_document) || ' (' || coalesce(nullif(organization, ''), 'unknown source') || ')'
     || case when coalesce(page_start, 0) <> 0 then ', p. ' || page_start else '' end"""
-_PASSAGE = f"""'[' || rank || '] ' || {_CITATION} || coalesce(' | ' || nullif(disease_name, ''), '') || chr(10)
+PASSAGE_SQL = f"""'[' || rank || '] ' || {CITATION_SQL} || coalesce(' | ' || nullif(disease_name, ''), '') || chr(10)
     || regexp_replace(text, '^[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\v]+|[\\s\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}\\v]+$', '', 'g')
     || coalesce(chr(10) || 'Dosage as printed: ' || nullif(dosage, '') || coalesce(' | Active ingredient: ' || nullif(active_ingredient, ''), ''), '')"""
 
@@ -176,12 +176,12 @@ SQL = {
     "unit_vectors": """
         with n as (select chunk_id, vector, len(vector) as dim, sqrt(list_sum(list_transform(vector, lambda x: x::double * x::double))) as l from chunk_vectors where vector is not null)
         select chunk_id, cast(dim as integer) as dim, round(l, 5) as length, case when l > 0 then round(sqrt(list_sum(list_transform(vector, lambda x: (x / l) * (x / l)))), 5) end as unit_length from n""",
-    "citations": f"select distinct chunk_id, {_CITATION} as citation from chunks",
+    "citations": f"select distinct chunk_id, {CITATION_SQL} as citation from chunks",
     "passages": f"""
         with t as (select distinct on (chunk_id) * from chunks where chunk_type = 'treatment_record'),
         r as (select *, row_number() over (partition by source_document order by chunk_id) as rank from t),
-        p as (select source_document, rank, {_PASSAGE} as p from r)
-        select source_document, string_agg(p, chr(10) || chr(10) order by rank) as context, count(*) as n_passages from p group by source_document""",
+        p as (select source_document, rank, {PASSAGE_SQL} as p, {CITATION_SQL} as c from r)
+        select source_document, string_agg(p, chr(10) || chr(10) order by rank) as context, min_by('- ' || c, rank) as sources, count(*) as n_passages from p group by source_document""",
     "safe_chunks": f"""
         select document_type, count(*) as n_rows, count(distinct chunk_id) as n_chunks from chunks
         where not coalesce(is_inoculation_protocol, false) and not {_SCREEN} group by document_type""",

@@ -62,7 +62,7 @@ def made_masks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_MASKS = """
+MASKS_SQL = """
     masks as (select l_orderkey // 40 as image_index, l_orderkey * 8 + l_linenumber as det_id, 'c' || (l_linenumber % 3) as class_name,
         l_partkey % 200 as a, l_quantity::int as one, l_suppkey % 50 + 1 as gap from lineitem),
     pixels as (select image_index, det_id, class_name, unnest(list_concat(range(a, a + one), range(a + one + gap, a + one + gap + 30))) as p from masks)"""
@@ -81,7 +81,30 @@ def class_findings(spark: SparkSession, folder: str) -> DataFrame:
     images = masks.select("image_index").distinct().withColumns({"orig_w": F.lit(30), "orig_h": F.lit(20)})
     scores = masks.select("image_index", "det_id", "class_name", (F.col("det_id") % 100 / 100).alias("score"))
     found = D.findings(masks, scores, images)
-    return found.select("class_name", "confidence", "lesions", "affected_pixels", F.round("affected_ratio", 9).alias("affected_ratio"), "severity", F.size("image_indices").alias("n_images"))
+    return found.select("class_name", "confidence", "lesions", "affected_pixels", F.round("affected_ratio", 9).alias("affected_ratio"), "severity", "n_images")
+
+
+def mask_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of masks of one picture that share at least a fifth of their pixels."""
+    met = D.mask_overlap(made_masks(spark, folder), stretch=64).filter("iou >= 0.2")
+    return met.select("image_index", "det_a", "det_b", F.round("iou", 6).alias("iou"))
+
+
+def made_anchors(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as anchors of a detector with six classes, in a square of 640."""
+    rows = table(spark, folder, "lineitem")
+    scores = F.array(*(F.when(F.col("l_linenumber") % 6 == c, F.col("l_extendedprice") % 1000 / 1000).otherwise(0.05).cast("float") for c in range(6)))
+    return rows.select(
+        F.expr("l_orderkey div 40").cast("int").alias("image_index"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("anchor_id"), (F.col("l_partkey") % 97 * 5 + 30).cast("float").alias("cx"),
+        (F.col("l_suppkey") % 89 * 6 + 30).cast("float").alias("cy"), (F.col("l_quantity") * 2).cast("float").alias("w"), F.lit(40.0).cast("float").alias("h"), scores.alias("class_scores"),
+    )
+
+
+def detected(spark: SparkSession, folder: str) -> DataFrame:
+    """Anchors through thresholds, suppression and back into pictures of 1280 x 960."""
+    anchors = made_anchors(spark, folder)
+    images = anchors.select("image_index").distinct().withColumns({"orig_w": F.lit(1280), "orig_h": F.lit(960), "scale": F.lit(0.5), "pad_x": F.lit(0.0), "pad_y": F.lit(80.0)})
+    return D.detect(anchors, images).select("image_index", "anchor_id", "class_id", F.round(F.col("score").cast("double"), 6).alias("score"), "box.x1", "box.y1", "box.x2", "box.y2")
 
 
 def overall_area(spark: SparkSession, folder: str) -> DataFrame:
@@ -111,10 +134,33 @@ def thresholded(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (suppressed_boxes, box_overlaps, letterboxes, severity_bands, mask_areas, union_areas, class_findings, overall_area, panicle_verdicts, worst_case, thresholded)
+    for f in (suppressed_boxes, box_overlaps, letterboxes, severity_bands, mask_areas, union_areas, mask_overlaps, detected, class_findings, overall_area, panicle_verdicts, worst_case, thresholded)
 }
 
+_IOU = "greatest(least(k.x2, y.kept[1].x2) - greatest(k.x1, y.kept[1].x1), 0) * greatest(least(k.y2, y.kept[1].y2) - greatest(k.y1, y.kept[1].y1), 0)"
+_AREAS = "(k.x2 - k.x1) * (k.y2 - k.y1) + (y.kept[1].x2 - y.kept[1].x1) * (y.kept[1].y2 - y.kept[1].y1)"
+
 SQL = {
+    "mask_overlaps": f"""
+        with {MASKS_SQL}, d as (select distinct image_index, det_id, p from pixels), b as (select x.image_index, x.det_id as det_a, y.det_id as det_b, count(*) as n from d x join d y on x.image_index = y.image_index and x.p = y.p and x.det_id < y.det_id group by all),
+        a as (select det_id, count(*) as area from d group by det_id)
+        select cast(b.image_index as integer) as image_index, det_a, det_b, round(n / (p.area + q.area - n), 6) as iou from b join a p on p.det_id = det_a join a q on q.det_id = det_b where n / (p.area + q.area - n) >= 0.2""",
+    "detected": f"""
+        with r as (select cast(l_orderkey // 40 as integer) as image_index, l_orderkey * 8 + l_linenumber as anchor_id, l_linenumber % 6 as c, (l_extendedprice % 1000 / 1000)::float as s, (l_partkey % 97 * 5 + 30)::double as cx,
+            (l_suppkey % 89 * 6 + 30)::double as cy, (l_quantity * 2)::double as w from lineitem),
+        m as (select *, case when s >= 0.05::float then c when c = 0 then 1 else 0 end as class_id, greatest(s, 0.05::float) as score from r),
+        k as (select *, cx - w / 2 as x1, cy - 20 as y1, cx + w / 2 as x2, cy + 20 as y2 from m where score >= case class_id when 0 then 0.25::float when 4 then 0.30::float when 5 then 0.30::float else 0.15::float end),
+        l as (select image_index, class_id, list({{'kept': [{{'id': anchor_id, 'score': score, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}]}} order by score desc, anchor_id) as boxes from k group by all),
+        n as (select image_index, class_id, list_reduce(boxes, lambda x, y: case when len(list_filter(x.kept, lambda k: {_IOU} >= 0.45 * ({_AREAS} - {_IOU}) and {_AREAS} - {_IOU} > 0)) > 0 then x
+            else {{'kept': list_concat(x.kept, y.kept)}} end) as s from l),
+        u as (select image_index, class_id, unnest(s.kept) as b from n)
+        select image_index, b.id as anchor_id, cast(class_id as integer) as class_id, round(b.score::double, 6) as score, least(greatest(b.x1 / 0.5, 0), 1280)::double as x1, least(greatest((b.y1 - 80) / 0.5, 0), 960)::double as y1,
+            least(greatest(b.x2 / 0.5, 0), 1280)::double as x2, least(greatest((b.y2 - 80) / 0.5, 0), 960)::double as y2 from u""",
+    "suppressed_boxes": f"""
+        with {_BOXES}, l as (select image_index, class_id, list({{'kept': [{{'id': det_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}]}} order by score desc, det_id) as boxes from boxes group by all),
+        r as (select image_index, class_id, list_reduce(boxes, lambda x, y: case when len(list_filter(x.kept, lambda k: {_IOU} >= 0.45 * ({_AREAS} - {_IOU}) and {_AREAS} - {_IOU} > 0)) > 0 then x
+            else {{'kept': list_concat(x.kept, y.kept)}} end) as s from l)
+        select image_index, class_id, unnest(list_transform(s.kept, lambda k: k.id)) as det_id from r""",
     "box_overlaps": f"""
         with {_BOXES}, p as (select a.image_index, a.det_id as det_a, b.det_id as det_b, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) as shared_area,
             (a.x2 - a.x1) * (a.y2 - a.y1) as aa, (b.x2 - b.x1) * (b.y2 - b.y1) as ab from boxes a join boxes b on a.image_index = b.image_index and a.class_id = b.class_id and a.det_id < b.det_id)
@@ -127,16 +173,16 @@ SQL = {
         with r as (select o_orderkey % 250 / 1000 as r from orders)
         select case when r < 0.03 then 'LOW' when r < 0.10 then 'MODERATE' when r < 0.18 then 'HIGH' else 'CRITICAL' end as severity, count(*) as n, round(max(r), 6) as most from r group by 1""",
     "mask_areas": "select cast(l_orderkey // 40 as integer) as image_index, l_orderkey * 8 + l_linenumber as det_id, l_quantity::int + 30 as area from lineitem",
-    "union_areas": f"with {_MASKS} select cast(image_index as integer) as image_index, class_name, count(distinct p) as pixels from pixels group by all",
+    "union_areas": f"with {MASKS_SQL} select cast(image_index as integer) as image_index, class_name, count(distinct p) as pixels from pixels group by all",
     "class_findings": f"""
-        with {_MASKS}, u as (select class_name, count(*) as px from (select distinct image_index, class_name, p from pixels) group by all),
+        with {MASKS_SQL}, u as (select class_name, count(*) as px from (select distinct image_index, class_name, p from pixels) group by all),
         t as (select count(distinct image_index) * 600 as whole from masks),
         s as (select class_name, max(det_id % 100 / 100) as confidence, count(*) as lesions, count(distinct image_index) as n_images from masks group by all)
         select class_name, confidence, lesions, px as affected_pixels, round(px / whole, 9) as affected_ratio,
-            case when px / whole < 0.03 then 'LOW' when px / whole < 0.10 then 'MODERATE' when px / whole < 0.18 then 'HIGH' else 'CRITICAL' end as severity, cast(n_images as integer) as n_images
+            case when px / whole < 0.03 then 'LOW' when px / whole < 0.10 then 'MODERATE' when px / whole < 0.18 then 'HIGH' else 'CRITICAL' end as severity, n_images
         from s join u using (class_name), t""",
     "overall_area": f"""
-        with {_MASKS}, u as (select count(*) as px from (select distinct image_index, p from pixels)), t as (select count(distinct image_index) * 600 as whole, count(*) as lesions from masks)
+        with {MASKS_SQL}, u as (select count(*) as px from (select distinct image_index, p from pixels)), t as (select count(distinct image_index) * 600 as whole, count(*) as lesions from masks)
         select px as affected_pixels, lesions, round(px / whole, 9) as affected_ratio, case when px / whole < 0.03 then 'LOW' when px / whole < 0.10 then 'MODERATE' when px / whole < 0.18 then 'HIGH' else 'CRITICAL' end as severity from u, t""",
     "panicle_verdicts": """
         with s as (select event_id as image_index, event_id % 101 / 100 as score from events)

@@ -39,4 +39,9 @@ IMAGES = _of("image_index int, filename string, orig_w int, orig_h int, scale do
 MASKS = _of("image_index int, det_id int, class_name string, size array<int>, counts array<int>")
 SPIKE_SCORES = _of("request_id string, image_index int, filename string, score double")
 
+_SPAN = T.StructType([T.StructField("text", T.StringType()), T.StructField("size", T.DoubleType())])
+_LINE = T.StructType([T.StructField("bbox", T.ArrayType(T.DoubleType())), T.StructField("spans", T.ArrayType(_SPAN))])
+#: Pages as parsers give them: blocks of lines of spans.
+NESTED_PAGES = _of("filename string, page int, page_width double, page_height double").add("blocks", T.ArrayType(T.StructType([T.StructField("lines", T.ArrayType(_LINE))])))
+
 ALL = {name.lower(): value for name, value in list(globals().items()) if isinstance(value, T.StructType)}

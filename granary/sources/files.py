@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,12 +50,18 @@ def labelled_images(spark: SparkSession, folder: str, *, validation: float = 0.1
     return files.select("path", F.element_at(F.split("path", "/"), -2).alias("label"), F.when(part, "validation").otherwise("training").alias("split"), "content")
 
 
-def request_images(parts: DataFrame) -> DataFrame:
-    """Parts (field, content) of a request whose field begins with ``image_``, by name as text: image_10 before image_2."""
+def request_images(parts: DataFrame, keys: tuple[str, ...] = ("request_id",)) -> DataFrame:
+    """Parts (keys, field, content) of requests whose field begins with ``image_``, numbered within each request by name as
+    text: image_10 before image_2. Without a column of ``keys`` the parts are those of one request. The numbers are made
+    of the names alone; the pictures' bytes are not sorted with them."""
     from pyspark.sql.window import Window
 
+    keys = tuple(k for k in keys if k in parts.columns)
     kept = parts.filter(F.col("field").startswith("image_"))
-    return kept.withColumn("image_index", F.row_number().over(Window.orderBy("field")) - 1)
+    listed = kept.groupBy(*keys).agg(F.sort_array(F.collect_list("field")).alias("__fields"))
+    joined = kept.join(listed, [*keys]) if keys else kept.withColumn("__fields", listed.select("__fields").scalar())
+    same = F.row_number().over(Window.partitionBy(*keys, "field").orderBy("field")) if keys else F.lit(1)  # a field that came twice
+    return joined.withColumn("image_index", (F.array_position("__fields", F.col("field")) + same - 2).cast("int")).drop("__fields")
 
 
 def image_error(length: Column, width: Column, height: Column, *, most_bytes: int = 8 << 20, least_side: int = 32, most_side: int = 4096) -> Column:
@@ -65,14 +72,28 @@ def image_error(length: Column, width: Column, height: Column, *, most_bytes: in
     )
 
 
+def header_size(content: bytes | None) -> tuple[int, int] | None:
+    """(width, height) from the header of a PNG, or of a JPEG's first frame; None for other content."""
+    if content is None:
+        return None
+    if content[:8] == b"\x89PNG\r\n\x1a\n" and len(content) >= 24:
+        return int.from_bytes(content[16:20], "big"), int.from_bytes(content[20:24], "big")
+    at = 2 if content[:2] == b"\xff\xd8" else len(content)
+    while at + 9 < len(content) and content[at] == 0xFF:
+        kind = content[at + 1]
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # a frame: precision, height, width
+            return int.from_bytes(content[at + 7 : at + 9], "big"), int.from_bytes(content[at + 5 : at + 7], "big")
+        at += 2 if kind == 0xFF or 0xD0 <= kind <= 0xD9 else 2 + int.from_bytes(content[at + 2 : at + 4], "big")
+    return None
+
+
 def image_size(content: Column) -> Column:
-    """Struct (width, height) from the header of a PNG; nulls for other content."""
+    """Struct (width, height) from the header of a PNG or JPEG; nulls for other content."""
 
-    def number(at: int) -> Column:
-        return F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("int")
+    def sizes(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([header_size(v) or (None, None) for v in values], columns=["width", "height"]).astype("Int32")
 
-    png = F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A"
-    return F.struct(F.when(png, number(17)).alias("width"), F.when(png, number(21)).alias("height"))
+    return F.pandas_udf(sizes, "width int, height int")(content)
 
 
 def data_uri(content: Column, kind: str = "image/jpeg") -> Column:

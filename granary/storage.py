@@ -5,18 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder of our own only where that is unset."""
+    """The cluster's ``spark.checkpoint.dir``; where that is unset, a temporary folder of our own on a local master, and an
+    error on a cluster, whose executors would each write to a disk of their own."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="granary-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -31,9 +37,20 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete the intermediate tables written so far; frames that still read them become invalid."""
-    while _written:
+@contextmanager
+def released() -> Iterator[None]:
+    """Delete on leaving what was written inside; for jobs whose results are written before."""
+    held = len(_written)
+    try:
+        yield
+    finally:
+        release(held)
+
+
+def release(kept: int = 0) -> None:
+    """Delete the intermediate tables written so far, but for the first ``kept``; frames that still read them become
+    invalid."""
+    while len(_written) > kept:
         spark, path = _written.pop()
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
