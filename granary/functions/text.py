@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 # The characters with the Unicode property White_Space, as the inside of a character class.
 WHITE = "\\t-\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SPACES = f"[{WHITE}]+"
+_OTHER = WHITE.replace("\\t-\\r ", "\\t-\\r")
+#: Runs of white space that are anything but one ordinary space.
+ODD_SPACES = f" *[{_OTHER}][{_OTHER} ]*| {{2,}}"
 WORD = f"[^{WHITE}]+"
 
 
@@ -27,7 +30,7 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def collapsed(text: Column) -> Column:
     """Each run of white space as one space, none at the ends; null stays null."""
-    return F.trim(F.regexp_replace(text, SPACES, " "))
+    return F.trim(F.regexp_replace(text, ODD_SPACES, " "))
 
 
 def word_count(text: Column) -> Column:

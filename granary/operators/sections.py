@@ -66,13 +66,14 @@ def sections(ordered: DataFrame, decks: DataFrame | None = None) -> DataFrame:
     Sections without heading and with fewer than five words vanish; headings of short sections pass to the
     next long one, or to the last; documents without a long section vanish.
     """
-    ordered = stored(ordered.select("filename", "page", "place", "line_no", "size", "text"))  # read for sizes and for lines
+    # Read for sizes and for lines; what patterns tell of a line is told once, where the lines lie in many partitions.
+    told = {"gate": plausible_heading(F.col("text")), "numbered": matches(F.col("text"), NUMBERED, any_case=False), "figure": matches(F.col("text"), FIGURE)}
+    ordered = stored(ordered.select("filename", "page", "place", "line_no", "size", "text").withColumns(told))
     sizes = body_font_size(ordered)
     lines = ordered.join(sizes, "filename")
     lines = lines.withColumn("is_deck", F.lit(False)) if decks is None else lines.join(decks, "filename", "left").fillna(False, ["is_deck"])
-    lines = lines.withColumn("gate", plausible_heading(F.col("text")))
-    heading = F.col("gate") & (matches(F.col("text"), NUMBERED, any_case=False) | (F.col("size") >= F.col("body_size") + _LARGER))
-    figure = ~F.col("is_deck") & matches(F.col("text"), FIGURE) & (F.col("size") <= F.col("body_size"))
+    heading = F.col("gate") & (F.col("numbered") | (F.col("size") >= F.col("body_size") + _LARGER))
+    figure = ~F.col("is_deck") & F.col("figure") & (F.col("size") <= F.col("body_size"))
     lines = lines.filter(~figure)
     first = F.row_number().over(Window.partitionBy("filename", "page").orderBy("place")) == 1
     lines = lines.withColumn("first", first)
@@ -87,8 +88,9 @@ def sections(ordered: DataFrame, decks: DataFrame | None = None) -> DataFrame:
         F.max(F.when(F.col("heads"), F.col("text"))).alias("heading"), F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("body"),
         F.min("page").alias("page_start"), F.max("page").alias("page_end"),
     )
-    body = F.regexp_replace(collapsed(F.col("body")), f"(?U)(\\w)­{SPACES[:-1]}*(\\w)", "$1$2")
-    raw = stored(raw.withColumn("text", body).drop("body"))  # the long texts are formed once
+    flat = F.col("flat")
+    body = F.when(F.contains(flat, F.lit("­")), F.regexp_replace(flat, f"(?U)(\\w)­{SPACES[:-1]}*(\\w)", "$1$2")).otherwise(flat)
+    raw = stored(raw.withColumn("flat", collapsed(F.col("body"))).withColumn("text", body).drop("body", "flat"))  # the long texts are formed once
     return merge_short(raw.withColumn("word_count", word_count(F.col("text"))))
 
 

@@ -20,7 +20,7 @@ def made_findings(spark: SparkSession, folder: str) -> DataFrame:
     """Users as analysed requests: classes of their events, confidence and affected share made of their number."""
     name = A.looked_up(F.col("event_type"), _NAMES)
     rows = table(spark, folder, "events").groupBy("user_id").agg(F.sort_array(F.collect_set(name)).alias("found"), F.count("*").cast("int").alias("lesion_count"))
-    ratio = F.col("user_id") % 1000 / 4000
+    ratio = F.col("user_id") % 250 / 1000
     rows = rows.withColumns({"diseases": F.when(F.col("user_id") % 7 == 0, F.array().cast("array<string>")).otherwise(F.col("found")), "ratio": ratio, "severity": G.severity(ratio)})
     return rows.select("user_id", "diseases", F.when(F.col("user_id") % 5 > 0, F.get("found", F.lit(0))).alias("disease_name"), F.when(F.col("user_id") % 11 > 0, F.col("user_id") % 101 / 100).alias("confidence"), "severity", "lesion_count", "ratio")
 
@@ -105,7 +105,7 @@ _WORDS = A.Wording()
 _FINDINGS = f"""
     e as (select user_id, coalesce(list_sort(list(distinct n) filter (where n is not null)), []) as found, cast(count(*) as integer) as lesion_count from (select user_id, {_case('event_type', _NAMES)} as n from events) group by user_id),
     f as (select user_id, case when user_id % 7 = 0 then [] else found end as diseases, case when user_id % 5 > 0 then found[1] end as disease_name, case when user_id % 11 > 0 then user_id % 101 / 100 end as confidence,
-        lesion_count, user_id % 1000 / 4000 as ratio, case when user_id % 1000 / 4000 < 0.03 then 'LOW' when user_id % 1000 / 4000 < 0.10 then 'MODERATE' when user_id % 1000 / 4000 < 0.18 then 'HIGH' else 'CRITICAL' end as severity from e),
+        lesion_count, user_id % 250 / 1000 as ratio, case when user_id % 250 / 1000 < 0.03 then 'LOW' when user_id % 250 / 1000 < 0.10 then 'MODERATE' when user_id % 250 / 1000 < 0.18 then 'HIGH' else 'CRITICAL' end as severity from e),
     s as (select *, case when len(diseases) > 0 then diseases when disease_name is not null then [disease_name] else [] end as targets from f)"""
 _BAND = "case when r < 0.03 then 'LOW' when r < 0.10 then 'MODERATE' when r < 0.18 then 'HIGH' else 'CRITICAL' end"
 

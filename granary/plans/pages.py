@@ -1,4 +1,4 @@
-"""Queries of layout, tables and sections, over pages made of the documents: each document is a page of its source,
+"""Queries of layout, tables and sections, over pages made of the documents: each document is a page of a file of its source,
 each of its lines a positioned line, each word a positioned word. SQL makes the same pages."""
 
 from __future__ import annotations
@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 
 from granary.functions.text import words
 from granary.operators import layout, sections, tables
-from granary.plans.common import WHITE_SQL, collapsed_sql, table, words_sql
+from granary.plans.common import WHITE_SQL, collapsed_sql, spread, table, words_sql
+
+
+def file_name() -> Column:
+    """Files of bounded size: the documents of a source among four hundred neighbouring ones."""
+    return F.expr("concat(coalesce(source, 'none'), ' ', cast(doc_id div 400 as string))").alias("filename")
 
 
 def made_lines(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "documents").select(F.coalesce("source", F.lit("none")).alias("filename"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
+    rows = spread(table(spark, folder, "documents")).select(file_name(), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
     n = F.length("text")
     rows = rows.withColumns({"page_width": F.lit(600.0), "x0": (40 + n * 7 % 30 + F.when(n % 5 == 0, 260).otherwise(0)).cast("double"), "y0": (20.0 + 30.0 * F.col("line_no")), "size": F.when(n % 4 == 0, 12.0).otherwise(10.0)})
     return rows.withColumns({"x1": F.col("x0") + F.least(n * 3, F.lit(250)) + F.when(n > 300, 150).otherwise(0), "y1": F.col("y0") + 12})
@@ -22,19 +27,19 @@ _LINES = """
     lines as (
         select filename, page, line_no, text, 600.0::double as page_width, cast(40 + length(text) * 7 % 30 + case when length(text) % 5 = 0 then 260 else 0 end as double) as x0,
             20.0::double + 30.0::double * line_no as y0, case when length(text) % 4 = 0 then 12.0::double else 10.0::double end as size
-        from (select coalesce(source, 'none') as filename, doc_id as page, unnest(range(len(string_split(text, chr(10))))) as line_no, unnest(string_split(text, chr(10))) as text from documents)),
+        from (select coalesce(source, 'none') || ' ' || (doc_id // 400) as filename, doc_id as page, unnest(range(len(string_split(text, chr(10))))) as line_no, unnest(string_split(text, chr(10))) as text from documents)),
     placed as (select *, x0 + least(length(text) * 3, 250) + case when length(text) > 300 then 150 else 0 end as x1, y0 + 12 as y1 from lines)"""
 
 
 def made_words(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "documents").select(F.coalesce("source", F.lit("none")).alias("filename"), F.col("doc_id").alias("page"), F.posexplode(words(F.col("text"))).alias("word_no", "word"))
+    rows = spread(table(spark, folder, "documents")).select(file_name(), F.col("doc_id").alias("page"), F.posexplode(words(F.col("text"))).alias("word_no", "word"))
     n, at = F.length("word"), F.col("word_no")
     x0 = 40.0 + 60.0 * (at % 8)
     return rows.withColumns({"x0": x0, "x1": x0 + F.least(n * 6, F.lit(58)), "y0": 20.0 + 12.0 * F.floor(at / 8)})
 
 
 _WORDS = f"""
-    w as (select coalesce(source, 'none') as filename, doc_id as page, list_filter(regexp_split_to_array(text, '{WHITE_SQL}'), lambda x: x <> '') as ws from documents where text is not null),
+    w as (select coalesce(source, 'none') || ' ' || (doc_id // 400) as filename, doc_id as page, list_filter(regexp_split_to_array(text, '{WHITE_SQL}'), lambda x: x <> '') as ws from documents where text is not null),
     words as (select filename, page, unnest(range(len(ws))) as k, unnest(ws) as word from w),
     put as (select *, 40.0::double + 60.0::double * (k % 8) as x0, 40.0::double + 60.0::double * (k % 8) + least(length(word) * 6, 58) as x1, 20.0::double + 12.0::double * (k // 8) as y0 from words)"""
 
@@ -68,8 +73,8 @@ def running_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_audit(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    pages = docs.select(F.coalesce("source", F.lit("none")).alias("filename"), F.col("doc_id").alias("page"), "text", (F.col("doc_id") % 3).cast("int").alias("image_count"))
+    docs = spread(table(spark, folder, "documents"))
+    pages = docs.select(file_name(), F.col("doc_id").alias("page"), "text", (F.col("doc_id") % 3).cast("int").alias("image_count"))
     audited = layout.page_audit(pages, made_lines(spark, folder), made_words(spark, folder))
     rolled = layout.document_audit(audited)
     return rolled.select("filename", "page_count", "chars", "images", F.size("thin_pages").alias("thin"), F.size("table_pages").alias("tabular"), "sparse_pages", "chars_per_page", "table_ratio", "layout_dominant", "route")
@@ -78,7 +83,7 @@ def document_audit(spark: SparkSession, folder: str) -> DataFrame:
 def made_table_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as pages with a table: every third has a caption of six words, then come short lines of five words and, from
     the tenth on, prose of twenty."""
-    rows = table(spark, folder, "documents").filter("text is not null").select(F.coalesce("source", F.lit("none")).alias("filename"), F.col("doc_id").alias("page"), words(F.col("text")).alias("w"))
+    rows = spread(table(spark, folder, "documents")).filter("text is not null").select(file_name(), F.col("doc_id").alias("page"), words(F.col("text")).alias("w"))
     caption = F.concat(F.lit("Table "), (F.col("page") % 40 + 1).cast("string"), F.lit(". "), F.array_join(F.slice("w", 1, 6), " "))
     first = F.when(F.col("page") % 3 == 0, caption).otherwise(F.array_join(F.slice("w", 1, 6), " "))
     short = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: F.array_join(F.slice("w", k * 5 + 7, 5), " "))
@@ -88,7 +93,7 @@ def made_table_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _TABLE_LINES = f"""
-    tw as (select coalesce(source, 'none') as filename, doc_id as page, list_filter(regexp_split_to_array(text, '{WHITE_SQL}'), lambda x: x <> '') as w from documents where text is not null),
+    tw as (select coalesce(source, 'none') || ' ' || (doc_id // 400) as filename, doc_id as page, list_filter(regexp_split_to_array(text, '{WHITE_SQL}'), lambda x: x <> '') as w from documents where text is not null),
     tl as (select filename, page, list_concat([case when page % 3 = 0 then 'Table ' || (page % 40 + 1) || '. ' else '' end || array_to_string(list_slice(w, 1, 6), ' ')],
         list_concat(list_transform(range(0, 9), lambda k: array_to_string(list_slice(w, k * 5 + 7, k * 5 + 11), ' ')), list_transform(range(0, greatest((len(w) - 52) // 20, 0) + 1), lambda k: array_to_string(list_slice(w, k * 20 + 52, k * 20 + 71), ' ')))) as l from tw),
     tlines as (select filename, page, i - 1 as line_no, l[i] as text, 40.0::double as x0, case when i <= 10 then 240.0::double else 560.0::double end as x1, 20.0::double + 14.0::double * (i - 1) as y0, 30.0::double + 14.0::double * (i - 1) as y1
@@ -123,7 +128,7 @@ def slide_decks(spark: SparkSession, folder: str) -> DataFrame:
 
 def nested_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as nested pages: a block for each line of text, its words as spans; flattened."""
-    rows = table(spark, folder, "documents").filter("text is not null")
+    rows = spread(table(spark, folder, "documents")).filter("text is not null")
 
     def spans(x: Column) -> Column:
         return F.transform(words(x), lambda w: F.struct(F.concat(w, F.lit(" ")).alias("text"), (F.length(w) % 5 + 8).cast("double").alias("size")))
@@ -131,7 +136,7 @@ def nested_lines(spark: SparkSession, folder: str) -> DataFrame:
     def block(x: Column, k: Column) -> Column:
         return F.struct(F.array(F.struct(F.array(F.lit(40.0), k * 12.0, F.lit(500.0), k * 12.0 + 10).alias("bbox"), spans(x).alias("spans"))).alias("lines"))
 
-    pages = rows.select(F.coalesce("source", F.lit("none")).alias("filename"), F.col("doc_id").alias("page"), F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"), F.transform(F.split("text", "\n", -1), block).alias("blocks"))
+    pages = rows.select(file_name(), F.col("doc_id").alias("page"), F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"), F.transform(F.split("text", "\n", -1), block).alias("blocks"))
     return layout.lines_of_pages(pages).select("filename", "page", "line_no", "y0", "y1", "size", "text")
 
 
@@ -232,7 +237,7 @@ _MERGED = """
 
 SQL = {
     "nested_lines": f"""
-        with l as (select coalesce(source, 'none') as filename, doc_id as page, string_split(text, chr(10)) as l from documents where text is not null), k as (select filename, page, l, unnest(range(1, len(l) + 1)) as i from l),
+        with l as (select coalesce(source, 'none') || ' ' || (doc_id // 400) as filename, doc_id as page, string_split(text, chr(10)) as l from documents where text is not null), k as (select filename, page, l, unnest(range(1, len(l) + 1)) as i from l),
         w as (select filename, page, i, list_filter(regexp_split_to_array(l[i], '{WHITE_SQL}'), lambda x: x <> '') as w from k)
         select filename, page, cast(i - 1 as integer) as line_no, 12.0::double * (i - 1) as y0, 12.0::double * (i - 1) + 10 as y1, list_max(list_transform(w, lambda x: length(x) % 5 + 8))::double as size,
             array_to_string(list_transform(w, lambda x: x || ' '), '') as text from w""",
@@ -272,7 +277,7 @@ SQL = {
         select filename, text, n_lines from s join c using (filename) where n_pages >= 6 and n_lines >= 2 and length(text) > 8""",
     "document_audit": f"""
         with {_LINES}, {_LAYOUT.format(12)}, {_WORDS}, {_TABLES},
-        pages as (select coalesce(source, 'none') as filename, doc_id as page, length(trim(coalesce(text, ''), ' ')) as chars, doc_id % 3 as images from documents),
+        pages as (select coalesce(source, 'none') || ' ' || (doc_id // 400) as filename, doc_id as page, length(trim(coalesce(text, ''), ' ')) as chars, doc_id % 3 as images from documents),
         a as (select filename, page, chars, images, coalesce(layout, 'sparse') as layout, coalesce(is_table, false) as t, chars < 100 as thin
             from pages left join layouts using (filename, page) left join tabled using (filename, page)),
         d as (select filename, count(*) as page_count, cast(sum(chars) as bigint) as chars, cast(sum(images) as bigint) as images, count(*) filter (where thin) as thin, count(*) filter (where t) as tabular,
@@ -280,7 +285,7 @@ SQL = {
         select filename, page_count, chars, images, cast(thin as integer) as thin, cast(tabular as integer) as tabular, sparse_pages, round_even(chars / page_count, 1) as chars_per_page, round_even(tabular / page_count, 3) as table_ratio,
             case when two > single then 'two_column' else 'single_column' end as layout_dominant,
             case when round_even(tabular / page_count, 3) >= 0.15 then 'table_aware' when two > single then 'two_column' else 'plain' end as route from d""",
-    "page_text": "select coalesce(source, 'none') as filename, doc_id as page, text from documents where text is not null",
+    "page_text": "select coalesce(source, 'none') || ' ' || (doc_id // 400) as filename, doc_id as page, text from documents where text is not null",
     "lines_outside": f"with {_LINES} select filename, page, cast(line_no as integer) as line_no from placed where not (page % 2 = 0 and y0 >= 45 and y1 <= 105)",
     "bibliography_share": r"""
         with s as (select distinct chunk_id, section as heading, coalesce(word_count, 0) as word_count from chunks),

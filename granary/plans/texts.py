@@ -10,43 +10,43 @@ from pyspark.sql import functions as F
 from granary import config
 from granary.functions import text as X
 from granary.operators import chunking, cleaning, duplicates, provenance
-from granary.plans.common import WHITE_SQL, collapsed_sql, hits_sql, table, words_sql
+from granary.plans.common import WHITE_SQL, collapsed_sql, hits_sql, spread, table, words_sql
 
 def word_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Words of all documents by language: sum, interpolated median, mean, most."""
-    rows = table(spark, folder, "documents").select("lang", X.word_count(F.col("text")).alias("n"))
+    rows = spread(table(spark, folder, "documents")).select("lang", X.word_count(F.col("text")).alias("n"))
     return rows.groupBy("lang").agg(F.count("*").alias("texts"), F.sum("n").alias("words"), F.percentile("n", 0.5).alias("median_words"), F.round(F.avg("n"), 6).alias("mean_words"), F.max("n").alias("most_words"))
 
 
 def class_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Mentions of each class in each document that has any."""
-    rows = table(spark, folder, "documents").select("doc_id", F.explode(chunking.class_hits(F.col("text"), config.CHUNK_LEXICON | config.OTHER_LEXICON)).alias("c"))
+    rows = spread(table(spark, folder, "documents")).select("doc_id", F.explode(chunking.class_hits(F.col("text"), config.CHUNK_LEXICON | config.OTHER_LEXICON)).alias("c"))
     return rows.filter("c.n > 0").select("doc_id", F.col("c.name").alias("class_name"), F.col("c.n").cast("bigint").alias("n"))
 
 
 def dominant_class(spark: SparkSession, folder: str) -> DataFrame:
     """The dominant class of each chunk text, canonical classes first."""
-    rows = table(spark, folder, "chunks").select("chunk_id", chunking.dominant_class(F.col("text")).alias("d"))
-    return rows.select("chunk_id", F.col("d.name").alias("class_name"), F.col("d.canonical").alias("canonical")).distinct()
+    rows = spread(table(spark, folder, "chunks")).select("chunk_id", F.inline(F.array(chunking.dominant_class(F.col("text")))))  # told once a row
+    return rows.withColumnRenamed("name", "class_name").distinct()
 
 
 def label_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Class, type and inoculation flag of every chunk by the full lexicons and rules."""
-    rows = table(spark, folder, "chunks").dropDuplicates(["chunk_id"])
+    rows = spread(table(spark, folder, "chunks")).dropDuplicates(["chunk_id"])
     rows = rows.withColumn("inoculation", chunking.inoculation_flag(F.col("document_type"), F.col("text"))).withColumn("d", chunking.dominant_class(F.col("text")))
     return rows.select("chunk_id", F.col("d.name").alias("class_name"), F.col("d.canonical").alias("canonical"), "inoculation", chunking.chunk_type(F.col("section"), F.col("text"), F.col("inoculation")).alias("type"))
 
 
 def class_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Each document as a page of its source: mentions and pages of each class, and the sources with most mentions."""
-    pages = table(spark, folder, "documents").select(F.coalesce("source", F.lit("")).alias("filename"), "text")
+    pages = spread(table(spark, folder, "documents")).select(F.coalesce("source", F.lit("")).alias("filename"), "text")
     told = F.array_join(F.transform(F.map_entries("documents"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), "|")
     return chunking.class_coverage(pages).withColumn("documents", told)
 
 
 def packed_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Every document packed to chunks."""
-    rows = table(spark, folder, "documents").select("doc_id", chunking.packed(F.col("text")).alias("parts"))
+    rows = spread(table(spark, folder, "documents")).select("doc_id", chunking.packed(F.col("text")).alias("parts"))
     rows = rows.select("doc_id", F.size("parts").alias("chunk_total"), F.posexplode("parts").alias("chunk_index", "chunk_text"))
     return rows.withColumn("word_count", X.word_count(F.col("chunk_text")))
 
@@ -61,7 +61,7 @@ def _metadata(rows: DataFrame) -> DataFrame:
 
 def narrative_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as sections of their sources, to labelled and typed chunks."""
-    rows = table(spark, folder, "documents").select(F.coalesce("source", F.lit("none")).alias("filename"), F.col("doc_id").alias("section_index"), F.col("title").alias("heading"), "text", F.col("doc_id").alias("page_start"), F.col("doc_id").alias("page_end"))
+    rows = spread(table(spark, folder, "documents")).select(F.coalesce("source", F.lit("none")).alias("filename"), F.col("doc_id").alias("section_index"), F.col("title").alias("heading"), "text", F.col("doc_id").alias("page_start"), F.col("doc_id").alias("page_end"))
     made = chunking.narrative_chunks(rows, _metadata(rows))
     return made.select("chunk_id", "text", "organization", "document_type", "chunk_type", "disease_name", "disease_name_is_canonical", "section", "word_count", "chunk_total", "is_inoculation_protocol")
 
@@ -85,12 +85,12 @@ def exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    return duplicates.near_duplicates(table(spark, folder, "documents"), "doc_id").select("id_a", "id_b", F.col("shared").cast("bigint").alias("shared"), F.round("overlap", 6).alias("overlap"))
+    return duplicates.near_duplicates(spread(table(spark, folder, "documents")), "doc_id").select("id_a", "id_b", F.col("shared").cast("bigint").alias("shared"), F.round("overlap", 6).alias("overlap"))
 
 
 def near_copies(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of different documents with five-word shingles in common to at least 0.8."""
-    return duplicates.near_copies(table(spark, folder, "documents"), "doc_id").select("id_a", "id_b", F.col("shared").cast("bigint").alias("shared"), F.round("similarity", 6).alias("similarity"))
+    return duplicates.near_copies(spread(table(spark, folder, "documents")), "doc_id").select("id_a", "id_b", F.col("shared").cast("bigint").alias("shared"), F.round("similarity", 6).alias("similarity"))
 
 
 def latest_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,7 +109,7 @@ def inline_hyphens(spark: SparkSession, folder: str) -> DataFrame:
 
 def cleaned_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Normal form, hyphens by evidence, split words."""
-    rows = cleaning.normalised(table(spark, folder, "chunks").select("chunk_id", "text").distinct())
+    rows = cleaning.normalised(spread(table(spark, folder, "chunks")).select("chunk_id", "text").distinct())
     joined = cleaning.dehyphenated(rows, cleaning.inline_hyphens(rows), ["chunk_id"])
     return cleaning.words_rejoined(joined)
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from granary.functions import geometry as G
 from granary.operators import detections as D
-from granary.plans.common import table
+from granary.plans.common import spread, table
 
 
 def made_boxes(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as scored boxes: pictures of some forty boxes."""
-    rows = table(spark, folder, "lineitem")
+    rows = spread(table(spark, folder, "lineitem"))
     x, y = (F.col("l_partkey") % 97).cast("double"), (F.col("l_suppkey") % 89).cast("double")
     return rows.select(
         F.expr("l_orderkey div 40").alias("image_index"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("det_id"), F.expr("l_linenumber % 3").alias("class_id"),
@@ -56,7 +56,7 @@ def made_masks(spark: SparkSession, folder: str) -> DataFrame:
     first = (F.col("l_partkey") % 200).cast("int")
     one, gap, two = F.col("l_quantity").cast("int"), (F.col("l_suppkey") % 50).cast("int") + 1, F.lit(30)
     counts = F.array(first, one, gap, two, F.lit(600) - first - one - gap - two)
-    return table(spark, folder, "lineitem").select(
+    return spread(table(spark, folder, "lineitem")).select(
         F.expr("l_orderkey div 40").cast("int").alias("image_index"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("det_id"),
         F.concat(F.lit("c"), F.expr("l_linenumber % 3")).alias("class_name"), F.array(F.lit(20), F.lit(30)).alias("size"), counts.alias("counts"),
     )
@@ -85,14 +85,14 @@ def class_findings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mask_overlaps(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of masks of one picture that share at least a fifth of their pixels."""
-    met = D.mask_overlap(made_masks(spark, folder), stretch=64).filter("iou >= 0.2")
+    """Pairs of masks of one picture that share at least half of their pixels."""
+    met = D.mask_overlap(made_masks(spark, folder), stretch=64).filter("iou >= 0.5")
     return met.select("image_index", "det_a", "det_b", F.round("iou", 6).alias("iou"))
 
 
 def made_anchors(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as anchors of a detector with six classes, in a square of 640."""
-    rows = table(spark, folder, "lineitem")
+    rows = spread(table(spark, folder, "lineitem"))
     scores = F.array(*(F.when(F.col("l_linenumber") % 6 == c, F.col("l_extendedprice") % 1000 / 1000).otherwise(0.05).cast("float") for c in range(6)))
     return rows.select(
         F.expr("l_orderkey div 40").cast("int").alias("image_index"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("anchor_id"), (F.col("l_partkey") % 97 * 5 + 30).cast("float").alias("cx"),
@@ -144,7 +144,7 @@ SQL = {
     "mask_overlaps": f"""
         with {MASKS_SQL}, d as (select distinct image_index, det_id, p from pixels), b as (select x.image_index, x.det_id as det_a, y.det_id as det_b, count(*) as n from d x join d y on x.image_index = y.image_index and x.p = y.p and x.det_id < y.det_id group by all),
         a as (select det_id, count(*) as area from d group by det_id)
-        select cast(b.image_index as integer) as image_index, det_a, det_b, round(n / (p.area + q.area - n), 6) as iou from b join a p on p.det_id = det_a join a q on q.det_id = det_b where n / (p.area + q.area - n) >= 0.2""",
+        select cast(b.image_index as integer) as image_index, det_a, det_b, round(n / (p.area + q.area - n), 6) as iou from b join a p on p.det_id = det_a join a q on q.det_id = det_b where n / (p.area + q.area - n) >= 0.5""",
     "detected": f"""
         with r as (select cast(l_orderkey // 40 as integer) as image_index, l_orderkey * 8 + l_linenumber as anchor_id, l_linenumber % 6 as c, (l_extendedprice % 1000 / 1000)::float as s, (l_partkey % 97 * 5 + 30)::double as cx,
             (l_suppkey % 89 * 6 + 30)::double as cy, (l_quantity * 2)::double as w from lineitem),
