@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import geometry as G
 from granary.operators import detections as D
+from granary.operators import pictures as P
 from granary.plans.common import spread, table
 
 
@@ -107,6 +108,14 @@ def detected(spark: SparkSession, folder: str) -> DataFrame:
     return D.detect(anchors, images).select("image_index", "anchor_id", "class_id", F.round(F.col("score").cast("double"), 6).alias("score"), "box.x1", "box.y1", "box.x2", "box.y2")
 
 
+def tensor_sums(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as pictures of one colour in eight sizes, as letterboxed tensors of 16 x 16: the sum of each."""
+    rows = table(spark, folder, "part").select("p_partkey", (F.col("p_partkey") % 4 + 1).cast("int").alias("width"), (F.col("p_partkey") % 7 + 1).cast("int").alias("height"), F.format_string("%02X%02X%02X", F.col("p_partkey") % 256, F.col("p_partkey") % 77, F.col("p_size")).alias("colour"))
+    images = rows.withColumn("pixels", F.unhex(F.call_function("repeat", F.col("colour"), F.col("width") * F.col("height"))))
+    made = P.tensors(images, lambda p: P.detector_tensor(p, 16), "p_partkey")
+    return made.select("p_partkey", F.array_join("shape", "x").alias("shape"), F.round(F.aggregate("tensor", F.lit(0.0), lambda s, x: s + x), 2).alias("total"))
+
+
 def overall_area(spark: SparkSession, folder: str) -> DataFrame:
     masks = made_masks(spark, folder)
     images = masks.select("image_index").distinct().withColumns({"orig_w": F.lit(30), "orig_h": F.lit(20)})
@@ -134,13 +143,17 @@ def thresholded(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (suppressed_boxes, box_overlaps, letterboxes, severity_bands, mask_areas, union_areas, mask_overlaps, detected, class_findings, overall_area, panicle_verdicts, worst_case, thresholded)
+    for f in (suppressed_boxes, box_overlaps, letterboxes, severity_bands, mask_areas, union_areas, mask_overlaps, detected, tensor_sums, class_findings, overall_area, panicle_verdicts, worst_case, thresholded)
 }
 
 _IOU = "greatest(least(k.x2, y.kept[1].x2) - greatest(k.x1, y.kept[1].x1), 0) * greatest(least(k.y2, y.kept[1].y2) - greatest(k.y1, y.kept[1].y1), 0)"
 _AREAS = "(k.x2 - k.x1) * (k.y2 - k.y1) + (y.kept[1].x2 - y.kept[1].x1) * (y.kept[1].y2 - y.kept[1].y1)"
 
 SQL = {
+    "tensor_sums": """
+        with p as (select p_partkey, p_partkey % 4 + 1 as w, p_partkey % 7 + 1 as h, p_partkey % 256 + p_partkey % 77 + p_size as c from part), s as (select *, least(16.0::double / w, 16.0::double / h) as f from p),
+        n as (select *, greatest(round_even(w * f, 0), 1) * greatest(round_even(h * f, 0), 1) as area from s)
+        select p_partkey, '3x16x16' as shape, round((area * c + (256 - area) * 3 * 114) / 255.0::double, 2) as total from n""",
     "mask_overlaps": f"""
         with {MASKS_SQL}, d as (select distinct image_index, det_id, p from pixels), b as (select x.image_index, x.det_id as det_a, y.det_id as det_b, count(*) as n from d x join d y on x.image_index = y.image_index and x.p = y.p and x.det_id < y.det_id group by all),
         a as (select det_id, count(*) as area from d group by det_id)
