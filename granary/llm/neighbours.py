@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 
 from granary.storage import stored
 
+_MET = "q1 bigint, q2 bigint, m1 bigint, m2 bigint, near float, error float"
 RESULT = "id string, neighbour_id string, cosine double, rank int"
 #: Bytes of float32 that one routing step may gather at once, and scores that one product may make.
 _GATHER_FLOATS = 2_000_000
@@ -34,6 +35,8 @@ _CROWD = 32
 _CROWD_WITHIN = 0.15
 #: Crowded rows that are sent to every executor at once (64 floats each: about 8 MB); more go in blocks.
 _CROWD_BLOCK = 32_768
+#: Rows of the sample that bounds the k-th cosine from below where every row asks; where few ask it is the forest's.
+_BOUND_ROWS = 4_096
 #: Rows of one leaf, and rows that look into it, that one task compares; more are dealt to several tasks.
 _LEAF_TASK_ROWS = 65_536
 
@@ -246,6 +249,24 @@ def similar_vectors(
             seen = np.flatnonzero(own + asked)
             yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(own[seen]), pa.array(asked[seen])], names=["leaf", "own", "asked"])
 
+    # Without a floor every row that asks is compared with a sample of the distinct vectors first: its k nearest there are
+    # candidates, and the k-th nearest of all can't fall short of theirs, so that what is farther stays in its leaf.
+    known, near_known = None, None
+    if floor is None:
+        wanted = min(sample_rows, _BOUND_ROWS) if queries is None else sample_rows
+        part = F.pmod(F.col("h1"), F.lit(1 << 20)) < int(min(1.0, wanted / total) * (1 << 20)) + 1
+        told = classes.filter(part).select("h1", "h2", "v").limit(wanted).toArrow()
+        known = spark.sparkContext.broadcast((told["h1"].to_numpy(), told["h2"].to_numpy(), _units(_matrix(told["v"], dim)) if told.num_rows else np.zeros((0, dim), np.float32)))
+        near_known = classes.filter("asks").mapInArrow(lambda batches: _nearest_known(batches, known.value, dim, k), _MET)
+
+    def least_of(units: np.ndarray) -> np.ndarray:
+        rows = known.value[2]
+        out = np.full(len(units), -2, np.float32)
+        step = max(1, _SCORES // max(1, len(rows)))
+        for start in range(0, len(units) if len(rows) > k else 0, step):  # one of the sample may be the row itself
+            out[start : start + step] = -np.partition(-(units[start : start + step] @ rows.T), k, axis=1)[:, k]
+        return out - np.float32(2 * dim * _ROUNDING)
+
     # How many tasks share each leaf's rows and those that look into it: one number a leaf, as many leaves as the sample makes.
     dealt = np.ones((2, forest.leaves + 1), np.int64)
     counted = classes.mapInArrow(visits, "leaf int, own bigint, asked bigint").groupBy("leaf").agg(F.sum("own").alias("own"), F.sum("asked").alias("asked"))
@@ -261,6 +282,9 @@ def similar_vectors(
             codes = _codes(units)
             codes = np.concatenate([codes, _code_errors(units, codes)[:, None].view(np.int8)], 1)
             asks = batch["asks"].to_numpy(zero_copy_only=False).astype(bool)
+            least = np.full(len(units), -2, np.float32)
+            if known is not None:
+                least[asks] = least_of(units[asks])
             leaf, home = _routes(shared.value, units, asks, probes)
             row, slot = np.nonzero((leaf > 0) & (home | asks[:, None]))
             own = home[row, slot]
@@ -274,14 +298,14 @@ def similar_vectors(
                     r = row[take]
                     cell = (leaf[row, slot][take].astype(np.int64) * most[0] + p) * most[1] + q
                     role = (mine[take] + 2 * asking[take]).astype(np.int8)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(role), pa.array(h1[r]), pa.array(h2[r]), _bytes_of(codes[r])], names=["leaf", "role", "h1", "h2", "code"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(role), pa.array(h1[r]), pa.array(h2[r]), pa.array(least[r]), _bytes_of(codes[r])], names=["leaf", "role", "h1", "h2", "least", "code"])
 
     def meet(table: pa.Table) -> pa.Table:
         sent = np.frombuffer(b"".join(table["code"].to_pylist()), np.int8).reshape(-1, dim + 2)
         error = sent[:, dim:].copy().view(np.float16).ravel().astype(np.float32) + np.float32(dim * _ROUNDING)
         codes = sent[:, :dim].astype(np.float32)
         codes /= np.linalg.norm(codes, axis=1, keepdims=True)
-        role, h1, h2 = (table[c].to_numpy() for c in ("role", "h1", "h2"))
+        role, h1, h2, least = (table[c].to_numpy() for c in ("role", "h1", "h2", "least"))
         member, asker = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
         against = codes[member].T.copy()
         column = np.full(len(role), -1)
@@ -300,13 +324,15 @@ def similar_vectors(
             cut = np.full(len(who), -1.5, np.float32) if floor is None else floor - reach
             if floor is None and len(member) > k:
                 cut = np.maximum(cut, -np.partition(-score, k - 1, axis=1)[:, k - 1] - 2 * reach)
+            cut = np.maximum(cut, least[who] - reach)
             i, j = np.nonzero(score >= cut[:, None])
             s, e = score[i, j], error[who[i]] + error[member[j]]
             by = np.lexsort((e - s, i))
             i, j, s, e = i[by], j[by], s[by], e[by]
             place = np.arange(len(i)) - np.searchsorted(i, i)
-            sure = np.full(len(who), -2.0, np.float32)
-            sure[i[place == k - 1]] = (s - e)[place == k - 1]
+            sure = least[who].copy()
+            kth = place == k - 1
+            sure[i[kth]] = np.maximum(sure[i[kth]], (s - e)[kth])
             open_ = s + e >= (sure[i] if floor is None else np.maximum(sure[i], floor))
             i, j, s, e = i[open_], j[open_], s[open_], e[open_]
             crowded |= np.bincount(i, minlength=len(who)) > max(_CROWD, 2 * k)
@@ -319,8 +345,9 @@ def similar_vectors(
         s, e = (np.concatenate([x[kept], np.ones(len(lost), np.float32)]) for x in (s, e))
         return pa.table({"q1": h1[q], "q2": h2[q], "m1": h1[m], "m2": h2[m], "near": pa.array(s, pa.float32()), "error": pa.array(e, pa.float32())})
 
-    filed = classes.mapInArrow(route, "leaf bigint, role tinyint, h1 bigint, h2 bigint, code binary")
-    met = filed.groupBy("leaf").applyInArrow(meet, "q1 bigint, q2 bigint, m1 bigint, m2 bigint, near float, error float")
+    filed = classes.mapInArrow(route, "leaf bigint, role tinyint, h1 bigint, h2 bigint, least float, code binary")
+    met = filed.groupBy("leaf").applyInArrow(meet, _MET)
+    met = met if near_known is None else met.unionByName(near_known)
     met = met.groupBy("q1", "q2", "m1", "m2").agg(F.max("near").alias("near"), F.max("error").alias("error"))
     # Of all leaves those stay that may be nearer than the k-th is for certain.
     asker = Window.partitionBy("q1", "q2")
@@ -355,6 +382,25 @@ def similar_vectors(
     return _for_ids(ranked, ids, k)
 
 
+def _nearest_known(batches: Iterator[pa.RecordBatch], known: tuple[np.ndarray, np.ndarray, np.ndarray], dim: int, k: int) -> Iterator[pa.RecordBatch]:
+    """The ``k`` + 1 nearest of a sample to each row, but for the row itself."""
+    h1, h2, rows = known
+    top = min(k + 1, len(rows))
+    for batch in batches:
+        if not batch.num_rows or not top:
+            continue
+        units = _units(_matrix(batch["v"], dim))
+        q1, q2 = (batch[c].to_numpy() for c in ("h1", "h2"))
+        for start in range(0, len(units), step := max(1, _SCORES // len(rows))):
+            score = units[start : start + step] @ rows.T
+            j = np.argpartition(-score, top - 1, axis=1)[:, :top].ravel()
+            i = np.repeat(np.arange(len(score)), top)
+            other = (q1[start + i] != h1[j]) | (q2[start + i] != h2[j])
+            i, j = i[other], j[other]
+            columns = [q1[start + i], q2[start + i], h1[j], h2[j], score[i, j].astype(np.float32), np.full(len(i), dim * _ROUNDING, np.float32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["q1", "q2", "m1", "m2", "near", "error"])
+
+
 def _against_all(asked: DataFrame, n_asked: int, rows: DataFrame, dim: int, k: int) -> DataFrame:
     """(q1, q2, m1, m2, cosine): for every asked (h1, h2, v) the ``k`` nearest other rows of all, in double precision.
 
