@@ -139,33 +139,97 @@ def union_area(masks: DataFrame, keys: list[str]) -> DataFrame:
     return runs.select(*keys, F.aggregate("runs", zero, cover, lambda s: s["covered"]).alias("pixels"))
 
 
-def _apart(masks: DataFrame) -> DataFrame:
-    """(image_index, det_id, start, stop): runs of each detection that don't overlap, though several masks have its id."""
-    listed = mask_runs(masks).groupBy("image_index", "det_id").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("runs"))
-    zero = F.struct(F.lit(0).alias("reach"), F.array().cast("array<struct<start:int,stop:int>>").alias("runs"))
-
-    def fresh(state: Column, run: Column) -> Column:
-        rest = F.struct(F.greatest(run["start"], state["reach"]).alias("start"), run["stop"].alias("stop"))
-        more = F.when(run["stop"] > state["reach"], F.array_append(state["runs"], rest)).otherwise(state["runs"])
-        return F.struct(F.greatest(state["reach"], run["stop"]).alias("reach"), more.alias("runs"))
-
-    return listed.select("image_index", "det_id", F.explode(F.aggregate("runs", zero, fresh, lambda s: s["runs"])).alias("r")).select("image_index", "det_id", "r.start", "r.stop")
-
-
-def mask_overlap(masks: DataFrame, *, stretch: int = 4_096) -> DataFrame:
-    """(image_index, det_a < det_b, iou) of masks of one picture that share a pixel; masks of one det_id count as one. Runs
-    are cut at every ``stretch`` places and meet by picture and stretch, so that runs of far parts of a picture are not
-    compared."""
-    runs = _apart(masks)
-    areas = runs.groupBy("image_index", "det_id").agg(F.sum(F.col("stop") - F.col("start")).alias("area"))
-    runs = runs.withColumn("cell", F.explode(F.sequence(F.expr(f"start div {stretch}"), F.expr(f"(stop - 1) div {stretch}"))))
-    runs = runs.withColumns({"start": F.greatest("start", (F.col("cell") * stretch).cast("int")), "stop": F.least("stop", ((F.col("cell") + 1) * stretch).cast("int"))})
-    other = runs.select("image_index", "cell", F.col("det_id").alias("det_b"), F.col("start").alias("s2"), F.col("stop").alias("e2"))
-    met = runs.withColumnRenamed("det_id", "det_a").join(other, ["image_index", "cell"]).filter("det_a < det_b and start < e2 and s2 < stop")
-    shared = met.groupBy("image_index", "det_a", "det_b").agg(F.sum(F.least("stop", "e2") - F.greatest("start", "s2")).alias("both"))
-    a, b = (areas.select("image_index", F.col("det_id").alias(f"det_{x}"), F.col("area").alias(f"area_{x}")) for x in "ab")
-    joined = shared.join(a, ["image_index", "det_a"]).join(b, ["image_index", "det_b"])
-    return joined.select("image_index", "det_a", "det_b", (F.col("both") / (F.col("area_a") + F.col("area_b") - F.col("both"))).alias("iou"))
+#: Run pairs at most that one step of ``mask_overlap`` meets, unless one mask alone has more.
+_RUN_PAIRS_AT_ONCE = 1 << 16
+
+
+def mask_overlap(masks: DataFrame, *, least: float = 0.0) -> DataFrame:
+    """(image_index, det_a < det_b, iou) of masks of one picture that share a pixel and overlap by ``least`` or more; masks
+    of one det_id count as one. Every mask travels once, to the partition of its picture; there the runs that meet are
+    found in their order and summed up pair by pair, in steps of a bounded number of runs. No pair is stored."""
+    held = masks.filter("image_index is not null and det_id is not null and counts is not null").select("image_index", "det_id", "counts")
+    ordered = held.withColumn("__group", F.xxhash64(F.col("image_index").cast("string"))).repartition("__group").sortWithinPartitions("__group", "image_index", "det_id")
+    kinds = dict(held.dtypes)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
+            picture, det = (table[c].combine_chunks() for c in ("image_index", "det_id"))
+            codes = [pc.dictionary_encode(x).indices.to_numpy() for x in (picture, det)]
+            turns = [np.concatenate([[False], c[1:] != c[:-1]]) for c in codes]
+            mask = np.cumsum(turns[0] | turns[1])  # by picture and det_id, in their order
+            first = np.flatnonzero(np.concatenate([[True], mask[1:] != mask[:-1]]))
+            for a, b, iou in _overlaps(*_apart(table["counts"].combine_chunks(), mask), codes[0][first], least):
+                a, b = pa.array(first[a]), pa.array(first[b])
+                yield pa.RecordBatch.from_arrays([picture.take(a), det.take(a), det.take(b), pa.array(iou)], ["image_index", "det_a", "det_b", "iou"])
+
+    return ordered.mapInArrow(meet, f"image_index {kinds['image_index']}, det_a {kinds['det_id']}, det_b {kinds['det_id']}, iou double")
+
+
+def _apart(counts: pa.ListArray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, stop, number of the mask) of the set runs, which don't touch within a mask though several rows have its
+    number. What follows a null count is unknown and sets nothing."""
+    lengths, flat = pc.list_value_length(counts).to_numpy(), counts.flatten()
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    begin = np.cumsum(lengths, dtype=np.int64) - lengths
+    count = pc.fill_null(flat, 0).to_numpy().astype(np.int64)
+    if flat.null_count:
+        nulls = np.cumsum(flat.is_null().to_numpy(zero_copy_only=False))
+        count[nulls > np.concatenate([[0], nulls])[begin][row]] = 0
+    reach = np.concatenate([[0], np.cumsum(count)])
+    stop = reach[1:] - reach[begin][row]
+    held = np.flatnonzero(((np.arange(len(count)) - begin[row]) % 2 == 1) & (count > 0))
+    start, stop, number = stop[held] - count[held], stop[held], mask[row[held]]
+    wide = int(stop.max(initial=0)) + 1  # masks one after another on one line
+    order = np.argsort(start + number * wide, kind="stable")
+    start, stop, number = start[order] + number[order] * wide, stop[order] + number[order] * wide, number[order]
+    far = np.maximum.accumulate(stop)
+    fresh = np.flatnonzero(np.concatenate([[True], start[1:] > far[:-1]])) if len(start) else order
+    ends = far[np.append(fresh[1:], len(start)) - 1] if len(start) else order
+    number = number[fresh]
+    return start[fresh] - number * wide, ends - number * wide, number
+
+
+def _overlaps(start: np.ndarray, stop: np.ndarray, number: np.ndarray, picture: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, iou) of the numbers of masks of one picture that share a place, a < b, from runs in the order of ``number``;
+    ``picture`` tells the picture of each mask, pictures one after another."""
+    total = len(picture)
+    area = np.bincount(number, stop - start, total)
+    last = np.append(np.flatnonzero(picture[1:] != picture[:-1]) + 1, total)
+    end = last[np.searchsorted(last, np.arange(total), "right")]  # of the mask's picture
+    runs = np.searchsorted(number, np.arange(total + 1))
+    at = np.arange(total)
+    most = (end - at - 1) * (runs[at + 1] - runs[at]) + runs[end] - runs[at + 1]  # two masks meet in fewer runs than both have
+    wide = int(stop.max(initial=0)) + 1
+    line = np.searchsorted(last, at, "right") * wide  # pictures one after another on one line
+    start, stop = start + line[number], stop + line[number]
+    upto, low = np.cumsum(most), 0
+    while low < total:
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + _RUN_PAIRS_AT_ONCE, "right")))
+        part = slice(runs[low], runs[end[high - 1]])  # these masks and the later ones of the last picture
+        order = np.argsort(start[part], kind="stable") + part.start
+        s, e, m = start[order], stop[order], number[order]
+        inner, n = m < high, np.arange(len(m))
+        own, before = np.flatnonzero(inner), np.concatenate([[0], np.cumsum(inner)])
+        to = np.searchsorted(s, e)
+        many = np.where(inner, to - n - 1, before[to] - before[n + 1])  # an inner run meets all that begin in it, another one the inner ones
+        x = np.repeat(n, many)
+        y = np.arange(len(x)) + np.repeat(np.where(inner, n + 1, before[n + 1]) - (np.cumsum(many) - many), many)
+        if len(own) < len(m):
+            outer = ~inner[x]
+            y[outer] = own[y[outer]]
+        both = np.minimum(e[x], e[y]) - s[y]
+        a, b = np.minimum(m[x], m[y]), np.maximum(m[x], m[y])
+        width = end[low:high] - at[low:high] - 1
+        slot = np.cumsum(width) - width
+        shared = np.bincount(slot[a - low] + b - a - 1, both)
+        found = np.flatnonzero(shared)
+        a = np.searchsorted(slot, found, "right") - 1
+        b = found - slot[a] + a + low + 1
+        a += low
+        iou = shared[found] / (area[a] + area[b] - shared[found])
+        kept = iou >= least
+        yield a[kept], b[kept], iou[kept]
+        low = high
 
 
 def build_masks(detections: DataFrame, prototypes: DataFrame, *, threshold: float = 0.5, square: int = 640) -> DataFrame:

@@ -155,6 +155,26 @@ def test_masks(spark):
     assert (nothing["affected_ratio"], nothing["severity"]) == (0.0, "LOW")
 
 
+def test_mask_overlap_moves_masks_and_no_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.randrange(4), rng.randrange(15), [rng.randrange(6) for _ in range(rng.randrange(9))]) for _ in range(90)] + [(None, 1, [0, 9]), (1, None, [0, 9]), (1, 99, None), (1, 98, [0, 3, None, 9])]
+    pixels = {}
+    for picture, det, counts in rows:
+        if None not in (picture, det, counts):
+            known = counts[: counts.index(None)] if None in counts else counts
+            at = [sum(known[:i]) for i in range(len(known) + 1)]
+            pixels.setdefault((picture, det), set()).update(p for i in range(1, len(known), 2) for p in range(at[i], at[i + 1]))
+    true = {(p, a, b): len(x & y) / len(x | y) for (p, a), x in pixels.items() for (q, b), y in pixels.items() if p == q and a < b and x & y}
+    frame = spark.createDataFrame(rows, "image_index int, det_id bigint, counts array<int>")
+    for at_once, least in ((1, 0.0), (40, 0.0), (1 << 16, 0.5)):
+        monkeypatch.setattr(D, "_RUN_PAIRS_AT_ONCE", at_once)
+        found = D.mask_overlap(frame, least=least)
+        got = [tuple(r) for r in found.collect()]
+        assert len(got) == len({r[:3] for r in got}) and {r[:3]: r[3] for r in got} == {k: v for k, v in true.items() if v >= least} != {}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("Repartition") == 1
+
+
 def test_built_mask_is_cut_to_its_box(spark):
     detections = spark.createDataFrame([(0, 0, "c", [10.0], 0.0, 0.0, 8, 8, (2.0, 1.0, 6.0, 5.0))], "image_index int, det_id int, class_name string, coeffs array<float>, pad_x double, pad_y double, orig_w int, orig_h int, box struct<x1:double,y1:double,x2:double,y2:double>")
     protos = spark.createDataFrame([(0, [1.0] * 16, 1, 4)], "image_index int, protos array<float>, n int, side int")
