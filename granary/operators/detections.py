@@ -158,7 +158,7 @@ def mask_overlap(masks: DataFrame, *, least: float = 0.0) -> DataFrame:
             turns = [np.concatenate([[False], c[1:] != c[:-1]]) for c in codes]
             mask = np.cumsum(turns[0] | turns[1])  # by picture and det_id, in their order
             first = np.flatnonzero(np.concatenate([[True], mask[1:] != mask[:-1]]))
-            for a, b, iou in _overlaps(*_apart(table["counts"].combine_chunks(), mask), codes[0][first], least):
+            for a, b, iou in _overlaps(*_apart(table["counts"].combine_chunks(), mask), codes[0][first], least, _RUN_PAIRS_AT_ONCE):
                 a, b = pa.array(first[a]), pa.array(first[b])
                 yield pa.RecordBatch.from_arrays([picture.take(a), det.take(a), det.take(b), pa.array(iou)], ["image_index", "det_a", "det_b", "iou"])
 
@@ -189,7 +189,7 @@ def _apart(counts: pa.ListArray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start[fresh] - number * wide, ends - number * wide, number
 
 
-def _overlaps(start: np.ndarray, stop: np.ndarray, number: np.ndarray, picture: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _overlaps(start: np.ndarray, stop: np.ndarray, number: np.ndarray, picture: np.ndarray, least: float, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(a, b, iou) of the numbers of masks of one picture that share a place, a < b, from runs in the order of ``number``;
     ``picture`` tells the picture of each mask, pictures one after another."""
     total = len(picture)
@@ -204,7 +204,7 @@ def _overlaps(start: np.ndarray, stop: np.ndarray, number: np.ndarray, picture:
     start, stop = start + line[number], stop + line[number]
     upto, low = np.cumsum(most), 0
     while low < total:
-        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + _RUN_PAIRS_AT_ONCE, "right")))
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + at_once, "right")))
         part = slice(runs[low], runs[end[high - 1]])  # these masks and the later ones of the last picture
         order = np.argsort(start[part], kind="stable") + part.start
         s, e, m = start[order], stop[order], number[order]

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from granary.functions import shingles
 from granary.functions.text import shingle_hashes
 from granary.storage import stored
 
@@ -66,30 +72,109 @@ def near_copies(texts: DataFrame, id_col: str, text_col: str = "text", *, k: int
     return scored.filter(F.col("similarity") >= similarity).select("id_a", "id_b", "shared", "similarity")
 
 
+#: Texts at most that tell which shingles are common; copies of texts at most that are broadcast; shingles of a block.
+_SAMPLE_TEXTS, _MOST_COPIES, _BLOCK_SHINGLES = 4_096, 1_000_000, 3 << 19
+
+
+def _without_copies(texts: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(id, text) without texts that a smaller id has, and about how many these are; only hashes move, texts stay where they
+    are read."""
+    hashes = (F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null").select("id", "text", *hashes)
+    keys = stored(rows.select("id", "h1", "h2"))
+    first = keys.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    copies = stored(keys.join(first, ["h1", "h2"]).filter("id > first").select("id", "h1", "h2").distinct())
+    known = copies.count()
+    return rows.join(F.broadcast(copies) if known <= _MOST_COPIES else copies, ["id", "h1", "h2"], "left_anti").select("id", "text"), keys.count() - known
+
+
 def near_duplicates(texts: DataFrame, id_col: str, text_col: str = "text", *, k: int = 8, least_words: int = 60, overlap: float = 0.30) -> DataFrame:
     """(id_a < id_b, shared, overlap): texts of ``least_words`` or more words of a-z of which at least ``overlap`` of
     the smaller one's ``k``-word shingles stand in the other.
 
     Identical texts are compared once, through the one with the smallest id, and count as one text; their ids are
-    in ``exact_duplicates``. Prefix filtering keeps common shingles from making pairs: shingles are ordered from
-    rare to common, and two texts can only reach ``overlap`` if they meet in the first (1 - overlap) of the
-    smaller one's; that loses no pair.
+    in ``exact_duplicates``. The sets of shingles are stored once, in blocks of many texts, and every block meets every
+    block in a task of its own: no pair is stored or shuffled but those of the result. Prefix filtering keeps common
+    shingles from making pairs (``shingles.in_common``); a sample of the texts only tells which shingles are common, thus
+    the order, and any order loses no pair.
     """
-    rows = _distinct_texts(texts, id_col, text_col)
-    letters = F.size(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != ""))
-    sets = stored(rows.filter(letters >= least_words).select("id", shingle_hashes(F.col("text"), k).alias("grams")).filter("size(grams) > 0"))
-    grams = sets.select("id", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-    often = grams.groupBy("gram").agg(F.count("*").alias("docs")).filter("docs > 1")
-    met = stored(grams.join(often, "gram"))  # shingles of one text alone can't be shared; they come first in its order
-    alone = met.groupBy("id").agg(F.max("size").alias("of"), F.count("*").alias("common"))
-    ranked = met.join(alone, "id").withColumn("place", F.col("of") - F.col("common") + F.row_number().over(Window.partitionBy("id").orderBy("docs", "gram")))
-    # A meeting must lie within the first size - ceil(overlap * size) + 1 shingles of the smaller set.
-    prefix = ranked.withColumn("in_prefix", F.col("place") <= F.col("size") - F.ceil(F.lit(overlap) * F.col("size") - 1e-9) + 1).select("id", "size", "gram", "in_prefix")
-    small = prefix.filter("in_prefix").select("gram", F.col("id").alias("s"), F.col("size").alias("n_s"))
-    large = prefix.select("gram", F.col("id").alias("l"), F.col("size").alias("n_l"))
-    pairs = small.join(large, "gram").filter("n_s < n_l or (n_s = n_l and s <> l)").select(F.least("s", "l").alias("id_a"), F.greatest("s", "l").alias("id_b")).distinct()
-    left = sets.select(F.col("id").alias("id_a"), F.col("grams").alias("a"))
-    right = sets.select(F.col("id").alias("id_b"), F.col("grams").alias("b"))
-    shared = F.size(F.array_intersect("a", "b"))
-    scored = pairs.join(left, "id_a").join(right, "id_b").select("id_a", "id_b", shared.alias("shared"), (shared / F.least(F.size("a"), F.size("b"))).alias("overlap"))
-    return scored.filter(F.col("overlap") >= overlap)
+    rows, total = _without_copies(texts, id_col, text_col)
+    lower = rows.select("id", F.lower("text").cast("binary").alias("text"))
+    spark = texts.sparkSession
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(shingles.shingles(b["text"], k, least_words)[1].view(np.int64))], ["gram"])
+
+    some = lower.filter(F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(max(1, total // _SAMPLE_TEXTS))) == 0)
+    often = some.mapInArrow(listed, "gram bigint").groupBy("gram").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "gram").limit(1 << 20).toPandas().sort_values("gram")
+    common = spark.sparkContext.broadcast((often["gram"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, ns = common.value
+        ids, sizes, sets, held = [], [], [], 0
+
+        def row() -> pa.RecordBatch:
+            made = pa.concat_arrays(ids)
+            listed = pa.ListArray.from_arrays(pa.array([0, len(made)], pa.int32()), made)
+            return pa.RecordBatch.from_arrays([listed, pa.array([np.concatenate(sizes).astype(np.int32).tobytes()]), pa.array([np.concatenate(sets).tobytes()])], ["ids", "sizes", "grams"])
+
+        for b in batches:
+            text, gram = shingles.shingles(b["text"], k, least_words)
+            if not len(text):
+                continue
+            signed = gram.view(np.int64)
+            at = np.minimum(np.searchsorted(grams, signed), max(len(grams) - 1, 0))
+            rank = np.where(grams[at] == signed, ns[at], 0) if len(grams) else np.zeros(len(gram), np.int64)
+            order = shingles.in_order(np.minimum(rank, 65_535))
+            order = order[shingles.in_order(text[order])]  # by text, rank and hash
+            size = np.bincount(text, minlength=b.num_rows)
+            ids.append(b["id"].filter(pa.array(size > 0)))
+            sizes.append(size[size > 0])
+            sets.append(gram[order])
+            held += len(gram)
+            if held >= _BLOCK_SHINGLES:
+                yield row()
+                ids, sizes, sets, held = [], [], [], 0
+        if held:
+            yield row()
+
+    kind = dict(rows.dtypes)["id"]
+    blocks = stored(lower.mapInArrow(packed, f"ids array<{kind}>, sizes binary, grams binary").withColumn("block", F.monotonically_increasing_id()))
+    few = blocks.coalesce(max(1, (blocks.count() + 1) // 2))
+    left, right = (few.select(*(F.col(c).alias(f"{c}_{x}") for c in ("block", "ids", "sizes", "grams"))) for x in "ab")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, shingles.Block] = {}
+
+        def of(r: pa.RecordBatch, x: str, i: int) -> shingles.Block:
+            name = r[f"block_{x}"][i].as_py()
+            if name not in known:
+                while len(known) > 2:
+                    del known[next(iter(known))]
+                known[name] = shingles.Block(np.frombuffer(r[f"grams_{x}"][i].as_buffer(), np.uint64), np.frombuffer(r[f"sizes_{x}"][i].as_buffer(), np.int32), overlap)
+            return known[name]
+
+        for r in batches:
+            for i in range(r.num_rows):
+                a, b, same = of(r, "a", i), of(r, "b", i), r["block_a"][i].equals(r["block_b"][i])
+                ids_a, ids_b = r["ids_a"][i].values, r["ids_b"][i].values
+                for x, y, ids_x, ids_y, ties in ((a, b, ids_a, ids_b, True), *([] if same else [(b, a, ids_b, ids_a, False)])):
+                    for s, t, shared in shingles.in_common(x, y, overlap, same=same, ties=ties):
+                        part = shared / x.size[s]
+                        yield pa.RecordBatch.from_arrays([ids_x.take(pa.array(s)), ids_y.take(pa.array(t)), pa.array(shared.astype(np.int32)), pa.array(part)], ["s", "l", "shared", "overlap"])
+
+    with _rows_a_batch(spark, 1):  # a row holds two blocks
+        found = stored(left.join(right, F.col("block_a") <= F.col("block_b")).mapInArrow(meet, f"s {kind}, l {kind}, shared int, overlap double"))
+    return found.select(F.least("s", "l").alias("id_a"), F.greatest("s", "l").alias("id_b"), "shared", "overlap").filter("id_a < id_b").distinct()
+
+
+@contextmanager
+def _rows_a_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -79,6 +79,27 @@ def test_near_duplicates_equal_brute_force(spark):
         assert got == brute_near(rows, 3, 6, overlap) != set()
 
 
+def test_near_duplicates_store_no_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    parts = [" ".join(rng.choices("abcdefgh", k=9)) for _ in range(20)]
+    rows = [(f"d{i}", " ".join([parts[0], *(rng.choice(parts) for _ in range(rng.randint(2, 5)))])) for i in range(120)] + [("d200", None), ("d201", " ")]
+    held, stored = [], duplicates.stored
+
+    def counted(df):
+        held.append(stored(df))
+        return held[-1]
+
+    monkeypatch.setattr(duplicates, "stored", counted)
+    monkeypatch.setattr(duplicates, "_BLOCK_SHINGLES", 300, raising=False)
+    monkeypatch.setattr(duplicates, "_SAMPLE_TEXTS", 20, raising=False)
+    for overlap in (0.4, 0.7):
+        frame = spark.createDataFrame(rows + rows[:3], "id string, text string").repartition(3)
+        got = [(r["id_a"], r["id_b"], r["shared"]) for r in duplicates.near_duplicates(frame, "id", k=3, least_words=6, overlap=overlap).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute_near(rows, 3, 6, overlap) != set()
+        assert max(h.count() for h in held[:-1]) <= len(rows) + 3  # the last are the pairs found
+        held.clear()
+
+
 def test_exact_duplicates_and_latest(spark):
     frame = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None), (2, "a")], "id int, text string")
     assert {tuple(r) for r in duplicates.exact_duplicates(frame, "id").collect()} == {(1, 1, 2), (2, 1, 2), (3, 3, 1), (4, 4, 1)}
