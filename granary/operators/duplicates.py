@@ -72,8 +72,9 @@ def near_copies(texts: DataFrame, id_col: str, text_col: str = "text", *, k: int
     return scored.filter(F.col("similarity") >= similarity).select("id_a", "id_b", "shared", "similarity")
 
 
-#: Texts at most that tell which shingles are common; copies of texts at most that are broadcast; shingles of a block.
-_SAMPLE_TEXTS, _MOST_COPIES, _BLOCK_SHINGLES = 4_096, 1_000_000, 3 << 19
+#: Texts at most that tell which shingles are common; copies of texts at most that are broadcast; shingles of a
+#: block, and texts that are told apart at once.
+_SAMPLE_TEXTS, _MOST_COPIES, _BLOCK_SHINGLES, _TEXTS_AT_ONCE = 4_096, 1_000_000, 3 << 18, 2_000
 
 
 def _without_copies(texts: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
@@ -103,7 +104,7 @@ def near_duplicates(texts: DataFrame, id_col: str, text_col: str = "text", *, k:
     spark = texts.sparkSession
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(i, _TEXTS_AT_ONCE) for b in batches for i in range(0, b.num_rows, _TEXTS_AT_ONCE)):
             yield pa.RecordBatch.from_arrays([pa.array(shingles.shingles(b["text"], k, least_words)[1].view(np.int64))], ["gram"])
 
     some = lower.filter(F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(max(1, total // _SAMPLE_TEXTS))) == 0)
@@ -119,7 +120,7 @@ def near_duplicates(texts: DataFrame, id_col: str, text_col: str = "text", *, k:
             listed = pa.ListArray.from_arrays(pa.array([0, len(made)], pa.int32()), made)
             return pa.RecordBatch.from_arrays([listed, pa.array([np.concatenate(sizes).astype(np.int32).tobytes()]), pa.array([np.concatenate(sets).tobytes()])], ["ids", "sizes", "grams"])
 
-        for b in batches:
+        for b in (b.slice(i, _TEXTS_AT_ONCE) for b in batches for i in range(0, b.num_rows, _TEXTS_AT_ONCE)):
             text, gram = shingles.shingles(b["text"], k, least_words)
             if not len(text):
                 continue
